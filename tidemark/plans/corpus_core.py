@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import day_string, spelling_key
-from ..operators import asof, dedupe, nested, rolling, snapshots, topn
+from ..operators import asof, dedupe, nested, rolling, snapshots, spikes, topn
 from ..sources.tables import table
 
 LENGTHS = [7, 30]
@@ -70,6 +70,23 @@ def p2_tables(spark: SparkSession, root: str) -> DataFrame:
     return count
 
 
+def _p3_readings(spark: SparkSession, root: str) -> DataFrame:
+    bars = surviving_bars(spark, root, ["open", "high", "low", "close", "volume"])
+    return spikes.implausible_readings(bars, "symbol", "date", ("open", "high", "low", "close"), "volume")
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return _p3_readings(spark, root).select("symbol", day_string(F.col("date")).alias("day"))
+
+
+def p3_reasons(spark: SparkSession, root: str) -> DataFrame:
+    """Flagged bars by reason."""
+    return (
+        _p3_readings(spark, root)
+        .select("symbol", day_string(F.col("date")).alias("day"), F.explode("reasons").alias("reason"))
+    )
+
+
 def p4_changes(spark: SparkSession, root: str) -> DataFrame:
     """Changes with old and new values, spelling noise aside."""
     return _membership_changes(spark, root, ["gics_sector"]).select(
@@ -160,6 +177,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_rolling": p1_rolling,
     "p2_found": p2_found,
     "p2_tables": p2_tables,
+    "p3_found": p3_found,
+    "p3_reasons": p3_reasons,
     "p4_found": p4_found,
     "p4_changes": p4_changes,
     "p5_found": p5_found,
