@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_PACKAGE = Path(__file__).resolve().parents[1]
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="tidemark-code-")
+    archive = shutil.make_archive(f"{folder}/{_PACKAGE.name}", "zip", _PACKAGE.parent, _PACKAGE.name)
+    sc.addPyFile(archive)
+    sc._tidemark_shipped = True
+
 
 def table(spark: SparkSession, root: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Read ``<root>/<name>.parquet``. Only ``columns`` are read when given."""
+    ship(spark)
     df = spark.read.parquet(f"{root}/{name}.parquet")
     return df.select(*columns) if columns else df
 
