@@ -187,7 +187,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ranked": p6_ranked,
 }
 
-_BARS = "(SELECT symbol, date, arg_max(volume, fetched_at) AS volume, arg_max(close, fetched_at) AS close FROM bars GROUP BY symbol, date)"
+_BARS = "(SELECT symbol, date, volume, close FROM bars QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY fetched_at DESC) = 1)"
 _DENSE = f"""b AS {_BARS},
 span AS (SELECT symbol, min(date) AS lo, max(date) AS hi FROM b GROUP BY symbol),
 cal AS (SELECT symbol, lo, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM span),
