@@ -103,31 +103,57 @@ def _decode_table(codec: str) -> list[str]:
     ]
 
 
-def explain(garbled: str, clean: str) -> tuple[str, str] | None:
-    """The first transformation of the catalogue that turns every non-ASCII run of ``garbled`` into the
-    aligned run of ``clean``. Both have the same text outside of these runs."""
+def explain(garbled: str, clean: str) -> tuple[str, list[str]] | None:
+    """The right encoding, and the wrong ones, that turn every non-ASCII run of ``garbled`` into the aligned run of
+    ``clean``; runs that are the same in both say nothing. Both texts agree outside of these runs.
+
+    The first right encoding that fits is taken. Encodings share characters, so several wrong ones may fit.
+    """
     a, b = _RUN.findall(garbled), _RUN.findall(clean)
-    if len(a) != len(b):
+    pairs = [(x, y) for x, y in zip(a, b) if x != y]
+    if not pairs or len(a) != len(b):
         return None
     for right in RIGHT:
-        for wrong in WRONG:
-            if wrong != right and all(undo(x, wrong, right) == y for x, y in zip(a, b)):
-                return wrong, right
+        fits = [w for w in WRONG if w != right and all(undo(x, w, right) == y for x, y in pairs)]
+        if fits:
+            return right, fits
     return None
 
 
+def choose(seen: list[tuple[str, list[str], int]], least: int) -> list[tuple[str, str]]:
+    """The fewest transformations that account for the alignments ``(right, fitting wrongs, count)``.
+
+    For each right encoding the wrong one that fits most alignments is taken, then the one that fits most of the rest, and so on
+    while it fits ``least`` (one for UTF-8, where whole byte sequences must agree). UTF-8 is then combined with
+    every wrong encoding that fits any alignment: its sequences tell by themselves whether they are meant.
+    """
+    out: list[tuple[str, str]] = []
+    for right in RIGHT:
+        rest = [(set(ws), n) for r, ws, n in seen if r == right]
+        while rest:
+            count = {w: sum(n for ws, n in rest if w in ws) for w in WRONG}
+            best = max(WRONG, key=lambda w: count[w])
+            if count[best] < (1 if right == "utf-8" else least):
+                break
+            out.append((best, right))
+            rest = [(ws, n) for ws, n in rest if best not in ws]
+    if seen:
+        fitting = {w for _, ws, _ in seen for w in ws}
+        out += [(w, "utf-8") for w in WRONG if w in fitting and (w, "utf-8") not in out]
+    return out
+
+
 def learn_transformations(df: DataFrame, text: str, least: int = 2) -> list[tuple[str, str]]:
     """Transformations (wrong, right) found between near-twins of the corpus.
 
     Twins are sentences or lines that are the same once their non-ASCII characters are taken
     out. Each variant is set against the commonest of its skeleton: the ASCII
     characters anchor the two, so the runs between them align one to one, and the alignment
-    shows the encodings. A transformation counts if at least ``least`` different variants show it; one is enough
-    for UTF-8, where whole byte sequences must agree. Every learned wrong encoding is combined with every learned right one.
+    shows the encodings (``explain``); ``choose`` picks those that account for all.
 
     Scale: distinct sentences with their counts (map-side combined) are joined with one representative per
     skeleton; a skeleton with many variants yields one pair per variant, not all pairs.
-    Only the catalogue's counts reach the driver.
+    Only counts of sets of the catalogue's encodings reach the driver.
     """
     parts = df.select(F.explode(F.split(F.col(f"`{text}`"), _SENTENCE)).alias("s")).where(F.col("s").rlike(r"[^\x00-\x7f]"))
     skeleton = F.regexp_replace("s", r"[^\x00-\x7f]+", "")
@@ -146,16 +172,13 @@ def learn_transformations(df: DataFrame, text: str, least: int = 2) -> list[tupl
         for b in batches:
             for s, rep in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if _RUN.sub("", s) == _RUN.sub("", rep) and (found := explain(s, rep) or explain(rep, s)):
-                    count[found] += 1
+                    count[found[0], " ".join(found[1])] += 1
         if count:
-            w, r = zip(*count)
-            yield pa.RecordBatch.from_pydict({"wrong": list(w), "right": list(r), "n": list(count.values())})
+            r, w = zip(*count)
+            yield pa.RecordBatch.from_pydict({"right": list(r), "wrongs": list(w), "n": list(count.values())})
 
-    rows = pairs.mapInArrow(shown, "wrong string, right string, n long").groupBy("wrong", "right").agg(F.sum("n").alias("n"))
-    seen = [(r[0], r[1]) for r in rows.where((F.col("n") >= least) | (F.col("right") == "utf-8")).collect()]
-    wrongs = [w for w in WRONG if any(w == x for x, _ in seen)]
-    rights = [r for r in RIGHT if any(r == x for _, x in seen)]
-    return [(w, r) for r in rights for w in wrongs if w != r]
+    rows = pairs.mapInArrow(shown, "right string, wrongs string, n long").groupBy("right", "wrongs").agg(F.sum("n").alias("n"))
+    return choose(sorted((r[0], r[1].split(" "), r[2]) for r in rows.collect()), least)
 
 
 def _units(token: str) -> str:
@@ -264,23 +287,28 @@ class Repairer:
         """The restored token, what it gains in nats and whether UTF-8 was involved; the token, 0 where nothing fits."""
         if (hit := self.known.get(token)) is not None:
             return hit
-        now, total, multi = token, 0.0, False
+        # Text may be garbled as UTF-8 more than once; a step in between need not look better than the text.
+        reached: dict[str, bool] = {}
+        front = [token]
+        for depth in range(3):
+            after = []
+            for now in front:
+                for w, r in self.transformations:
+                    if depth and r != "utf-8":
+                        continue
+                    new = undo(now, w, r)
+                    if new is not None and new not in reached and new.count(REPLACEMENT) <= token.count(REPLACEMENT):
+                        reached[new] = r == "utf-8"
+                        if r == "utf-8":
+                            after.append(new)
+            front = after
         cost = lambda t: self.model.surprise(t) + 6.0 * len(_CONTROL.findall(t))
-        cost_now = cost(token)
-        for _ in range(3):  # text may be garbled more than once
-            best = None
-            for w, r in self.transformations:
-                new = undo(now, w, r)
-                if new is None or new.count(REPLACEMENT) > now.count(REPLACEMENT):
-                    continue
-                c = cost(new)
-                if best is None or c < best[0]:
-                    best = (c, new, r == "utf-8")
-            if best is None or cost_now - best[0] < (self.cut.multi if best[2] else self.cut.single):
-                break
-            total += cost_now - best[0]
-            cost_now, now = best[0], best[1]
-            multi |= best[2]
+        now, total, multi = token, 0.0, False
+        if reached:
+            new, least = min(((t, cost(t)) for t in reached), key=lambda x: (x[1], x[0]))
+            gain = cost(token) - least
+            if gain >= (self.cut.multi if reached[new] else self.cut.single):
+                now, total, multi = new, gain, reached[new]
         if len(self.known) > 200_000:
             self.known.clear()
         self.known[token] = (now, total, multi)
