@@ -15,26 +15,25 @@ from ..sources.sinks import upsert_by_year
 from ..sources.tables import ship
 
 
-def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream of events."""
+def read_events(spark: SparkSession, path: str, late: str = "2 hours", files_per_trigger: int = 1) -> DataFrame:
+    """A folder of Parquet files as a stream of events with a watermark ``late`` behind the newest event time."""
     ship(spark)
     e = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    return e.withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
-def windowed_totals(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
+def windowed_totals(events: DataFrame, length: str = "1 hour") -> DataFrame:
     """Count and total per event type and window. State is dropped, and later rows with it, once the watermark passes a window."""
     return (
-        events.withWatermark("ts", late)
-        .groupBy(F.window("ts", length).alias("w"), "event_type")
+        events.groupBy(F.window("ts", length).alias("w"), "event_type")
         .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
         .select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
     )
 
 
-def distinct_events(events: DataFrame, late: str = "2 hours") -> DataFrame:
+def distinct_events(events: DataFrame) -> DataFrame:
     """Each event id once; ids are remembered until the watermark passes them."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return events.dropDuplicatesWithinWatermark(["event_id"])
 
 
 _RUN_OUT = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("streak", T.LongType()), T.StructField("longest", T.LongType())])
