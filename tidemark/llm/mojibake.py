@@ -186,13 +186,15 @@ def _units(token: str) -> str:
     return "\x02" + regex.sub(r"[A-Z]+", lambda m: m.group().lower(), token) + "\x03"
 
 
-def _slot(a: str, b: str) -> int:
-    return (ord(a) * 0x9E3779B1 ^ ord(b) * 0x85EBCA77) % SLOTS
+def _slots(a: str, b: str) -> tuple[int, int]:
+    """The pair's counters in the two rows of a count-min sketch."""
+    x, y = ord(a), ord(b)
+    return (x * 0x9E3779B1 ^ y * 0x85EBCA77) % SLOTS, SLOTS + ((x * 0xC2B2AE3D + y * 0x27D4EB2F) >> 7) % SLOTS
 
 
 @dataclass
 class CharacterModel:
-    """An interpolated character-bigram model with counters of fixed size."""
+    """An interpolated character-bigram model; its pairs are counted in a sketch of fixed size."""
 
     pairs: np.ndarray
     chars: np.ndarray
@@ -207,17 +209,20 @@ class CharacterModel:
         for a, b in zip(u, u[1:]):
             if a > "\x7f" or b > "\x7f":
                 ca, cb = self.chars[ord(a) % CHARS], self.chars[ord(b) % CHARS]
-                p = 0.7 * self.pairs[_slot(a, b)] / (ca + 1) + 0.299 * cb / self.total + 0.001 / self.kinds
+                # Pairs may share counters; a pair is never commoner than the rarer of its counters and characters.
+                i, j = _slots(a, b)
+                n = min(self.pairs[i], self.pairs[j], ca, cb)
+                p = 0.7 * n / (ca + 1) + 0.299 * cb / self.total + 0.001 / self.kinds
                 out -= math.log(p)
         return out
 
 
 def character_model(df: DataFrame, text: str) -> CharacterModel:
-    """Counts of all character pairs of the corpus's non-ASCII tokens. The result has ``SLOTS`` + ``CHARS``
+    """Counts of all character pairs of the corpus's non-ASCII tokens. The result has 2 * ``SLOTS`` + ``CHARS``
     counters at most, whatever the corpus; partial counts are added per task before the shuffle."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, chars = np.zeros(SLOTS, np.int64), np.zeros(CHARS, np.int64)
+        pairs, chars = np.zeros(2 * SLOTS, np.int64), np.zeros(CHARS, np.int64)
         for b in batches:
             tokens: Counter[str] = Counter()
             for t in b.column(0).to_pylist():
@@ -229,8 +234,12 @@ def character_model(df: DataFrame, text: str) -> CharacterModel:
                 for i in range(len(u) - 1):
                     two[u[i : i + 2]] += n
             for u, n in two.items():
-                pairs[_slot(u[0], u[1])] += n
+                i, j = _slots(u[0], u[1])
+                pairs[i] += n
+                pairs[j] += n
                 chars[ord(u[0]) % CHARS] += n
+                if u[1] == "\x03":
+                    chars[3] += n
         at, ac = np.flatnonzero(pairs), np.flatnonzero(chars)
         yield pa.RecordBatch.from_pydict(
             {"slot": np.r_[at, -1 - ac].astype(np.int64), "n": np.r_[pairs[at], chars[ac]].astype(np.int64)}
@@ -239,7 +248,7 @@ def character_model(df: DataFrame, text: str) -> CharacterModel:
     rows = df.select(F.col(f"`{text}`")).mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     table = rows.toArrow()
     slot, n = table["slot"].to_numpy(), table["n"].to_numpy()
-    pairs, chars = np.zeros(SLOTS, np.int64), np.zeros(CHARS, np.int64)
+    pairs, chars = np.zeros(2 * SLOTS, np.int64), np.zeros(CHARS, np.int64)
     pairs[slot[slot >= 0]] = n[slot >= 0]
     chars[-1 - slot[slot < 0]] = n[slot < 0]
     return CharacterModel(pairs, chars)
