@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import dedupe, recursive
+from ..operators import dedupe, patterns, portfolio, recursive
 from ..operators import series as S
 from ..sources.tables import table
 
@@ -262,6 +262,38 @@ def turning_points(spark, root):
     return recursive.turning_points(clean_bars(spark, root))
 
 
+@query("contractions")
+def contractions(spark, root):
+    """Falls between turning points and how they tighten."""
+    t = patterns.contractions(recursive.turning_points(clean_bars(spark, root)))
+    return t.withColumns({c: F.round(c, 6) for c in ("depth", "ratio")})
+
+
+@query("rally_states")
+def rally_states(spark, root):
+    """Transitions of each symbol's rally automaton."""
+    return patterns.fold_days(clean_bars(spark, root), "symbol", "date", ["low", "close", "volume"], patterns.rally_step, None)
+
+
+def _trades(spark, root) -> DataFrame:
+    """Portfolios of the ranked screen: one for each number of slots."""
+    o = ranked_screen(spark, root).select("date", "symbol", "rank")
+    o = o.select(F.explode(F.array(*[F.lit(f"top{n}") for n in (3, 5, 10)])).alias("portfolio"), "*")
+    o = o.where(F.col("rank") <= F.replace("portfolio", F.lit("top")).cast("int"))
+    return portfolio.simulated_trades(o, clean_bars(spark, root))
+
+
+@query("portfolio_trades")
+def portfolio_trades(spark, root):
+    t = _trades(spark, root)
+    return t.withColumns({c: F.round(c, 6) for c in ("entry", "exit", "pnl")})
+
+
+@query("portfolio_metrics")
+def portfolio_metrics(spark, root):
+    return portfolio.trade_metrics(_trades(spark, root))
+
+
 @query("equal_weight_basket", f""", r AS (SELECT date, close / lag(close) {_ORD} - 1 AS r FROM b), d AS (SELECT date, coalesce(avg(r), 0.0) AS m, count(r) AS n FROM r GROUP BY date)
 SELECT date, n, round(m, 6) AS mean_move, round(exp(sum(ln(1 + m)) OVER (ORDER BY date)), 4) AS level FROM d""")
 def equal_weight_basket(spark, root):
