@@ -58,3 +58,12 @@ def test_clashing_payload_is_refused(spark):
     f = spark.createDataFrame([("A", DAY(1), DAY(1), "x", 0, "")], FACTS)
     with pytest.raises(ValueError):
         known_as_of(e, f, ["sym"], "at", "known", ["valid"], ["top"])
+
+
+def test_both_sides_may_come_from_one_frame(spark):
+    df = spark.createDataFrame([("A", DAY(k), f"a{k}") for k in range(5)] * 2, "sym string, day date, acc string")
+    events = df.select("sym", "day").distinct()
+    out = known_as_of(events, df, ["sym"], "day", "day", ["day"], ["acc"]).collect()
+    assert {(r.day, r.acc) for r in out} == {(DAY(k), f"a{k}") for k in range(5)} and len(out) == 5
+    twice = known_as_of(known_as_of(events, df, ["sym"], "day", "day", ["day"], ["acc"]), df.withColumnRenamed("acc", "b"), ["sym"], "day", "day", ["day"], ["b"])
+    assert all(r.acc == r.b for r in twice.collect())

@@ -44,9 +44,10 @@ def test_objects_and_parents(spark):
     docs = {k: json.dumps(v) for k, v in DOCS.items()}
     docs |= {"wrapped": json.dumps(json.dumps(DOCS["plain"])), "pretty": json.dumps(DOCS["arrays"], indent=1)}
     docs |= {"cut": docs["plain"][:-3], "na": "n/a", "blank": "", "null": None, "wrapped bad": json.dumps("[{"), "text null": "null"}
+    docs["surrogate"] = '{"a\\ud800": [{"b": "\\udc00"}]}'
     docs["inner string"] = json.dumps({"raw": json.dumps([{"a": 1}]), "list": [{"raw": "[{}]"}]})
     got = found(spark, docs)
-    want = {k: brute(v) for k, v in DOCS.items()} | {"wrapped": brute(DOCS["plain"]), "pretty": brute(DOCS["arrays"]), "inner string": {("list[0]", "")}}
+    want = {k: brute(v) for k, v in DOCS.items()} | {"wrapped": brute(DOCS["plain"]), "pretty": brute(DOCS["arrays"]), "inner string": {("list[0]", "")}, "surrogate": {("a\ufffd[0]", "")}}
     assert got == {k: v for k, v in want.items() if v}
 
 

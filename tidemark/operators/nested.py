@@ -285,7 +285,7 @@ def schema_graph(df: DataFrame, column: str) -> DataFrame:
                             seen.add(e)
             if new:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(x), pa.string()) for x in zip(*new)], schema=_EDGE
+                    [pa.array([_sound(y) for y in x], pa.string()) for x in zip(*new)], schema=_EDGE
                 )
 
     return df.select(F.col(f"`{column}`").cast("string")).mapInArrow(edges, "parent string, member string, kind string").distinct()
@@ -313,7 +313,7 @@ def shred(df: DataFrame, root_table: str, key: F.Column | str, column: str, inli
     - Null and unreadable documents, among them cut-off ones, give no rows; an empty object gives a
       root row without columns; an empty array gives no rows of its own.
     - A member that is null is a column with a null value; an absent member is no
-      column. Documents wrapped in a string are unwrapped.
+      column. Documents wrapped in a string are unwrapped. A lone surrogate comes out as a replacement character.
     - A null key is the empty string. Repeated documents repeat their rows.
 
     Scale: two passes over the column (the graph, then the rows), no shuffle but
@@ -344,9 +344,21 @@ def shred(df: DataFrame, root_table: str, key: F.Column | str, column: str, inli
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(c), f.type) for c, f in zip(zip(*rows), _ROW)], schema=_ROW
-    )
+    columns = list(zip(*rows))
+    try:
+        arrays = [pa.array(list(c), f.type) for c, f in zip(columns, _ROW)]
+    except UnicodeEncodeError:
+        arrays = [pa.array([_sound(x) for x in c], f.type) for c, f in zip(columns, _ROW)]
+    return pa.RecordBatch.from_arrays(arrays, schema=_ROW)
+
+
+def _sound(x):
+    """Text with escaped lone surrogates, which no encoding can hold, as replacement characters."""
+    if isinstance(x, str):
+        return x.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    if isinstance(x, (list, tuple)):
+        return type(x)(_sound(y) for y in x)
+    return x
 
 
 def table_of(shredded: DataFrame, name: str, columns: list[str]) -> DataFrame:

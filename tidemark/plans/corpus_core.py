@@ -219,7 +219,20 @@ vf AS (SELECT v.*, f.accession_no, f.filed_at, f.fiscal_period_end FROM v LEFT J
 a AS (SELECT vf.*, u.snapshot_date, u.g FROM vf LEFT JOIN u ON u.symbol = vf.symbol AND u.snapshot_date <= vf.as_of
  QUALIFY row_number() OVER (PARTITION BY vf.run_id, vf.symbol ORDER BY u.snapshot_date DESC NULLS LAST) = 1)"""
 
+_OBJECTS = r"""WITH RECURSIVE d AS (
+ SELECT 'verdicts' AS root_table, coalesce(run_id, '') || '/' || coalesce(symbol, '') AS root_key, reasons_json AS j FROM verdicts
+ UNION SELECT 'runs', coalesce(run_id, ''), metadata_json FROM runs
+ UNION SELECT 'config_versions', coalesce(config_hash, ''), sections_json FROM config_versions
+), u AS (SELECT root_table, root_key, CASE WHEN json_type(j) = 'VARCHAR' THEN json_extract_string(j, '$') ELSE j END AS j FROM d WHERE json_valid(j)),
+k AS (SELECT *, row_number() OVER (ORDER BY root_table, root_key, j) AS doc FROM u WHERE json_valid(j)),
+t AS (SELECT k.root_table, k.root_key, k.doc, e.id, e.parent, e.type, regexp_replace(e.fullkey, '^[$][.]?', '') AS path FROM k, json_tree(k.j) e),
+o AS (SELECT t.root_table, t.root_key, t.doc, t.id, t.parent, t.path, t.type = 'OBJECT' AND coalesce(p.type = 'ARRAY', false) AS hit FROM t LEFT JOIN t p ON p.doc = t.doc AND p.id = t.parent),
+up AS (SELECT doc, id, parent AS cur FROM o WHERE hit UNION ALL SELECT up.doc, up.id, o.parent FROM up JOIN o ON o.doc = up.doc AND o.id = up.cur WHERE NOT o.hit),
+near AS (SELECT up.doc, up.id, o.path FROM up JOIN o ON o.doc = up.doc AND o.id = up.cur WHERE o.hit)
+SELECT DISTINCT o.root_table, o.root_key, o.path, coalesce(near.path, '') AS parent_path FROM o LEFT JOIN near ON near.doc = o.doc AND near.id = o.id WHERE o.hit"""
+
 SQL: dict[str, str] = {
+    "p2_found": _OBJECTS,
     "p1_found": f"""WITH {_DENSE}, t AS (SELECT symbol, lo, date, sum(coalesce(volume, 0)) {_W.format(6)} AS v7, sum(coalesce(volume, 0)) {_W.format(29)} AS v30 FROM dense)
 SELECT symbol, strftime(date, '%Y-%m-%d') AS day, CASE WHEN v7 = 0 THEN 'quiet' ELSE 'surge' END AS kind FROM t
 WHERE date >= lo + 29 AND (v7 = 0 OR (v7 > 0 AND 10 * v7 >= 7 * v30))""",

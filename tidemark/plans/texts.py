@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("documents_profile", """SELECT source, count(*) AS n, count(text) AS n_text, count(*) FILTER (WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) = '') AS n_blank, count(DISTINCT symbol) AS n_symbols, sum(n_chars) AS chars, max(n_chars) AS longest FROM documents GROUP BY source""")
+@query("documents_profile", """SELECT source, count(*) AS n, count(text) AS n_text, count(*) FILTER (WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) = '') AS n_blank, count(DISTINCT symbol) AS n_symbols, CAST(sum(n_chars) AS BIGINT) AS chars, max(n_chars) AS longest FROM documents GROUP BY source""")
 def documents_profile(spark, root):
     d = table(spark, root, "documents", ["source", "text", "symbol", "n_chars"])
     return d.groupBy("source").agg(

@@ -14,7 +14,9 @@ _PACKAGE = Path(__file__).resolve().parents[1]
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once per application."""
+    """Give this package to the executors' Python workers, once per application. Days are UTC days, so the
+    session's time zone is set to it."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     sc = spark.sparkContext
     if getattr(sc, "_tidemark_shipped", False):
         return
