@@ -42,8 +42,9 @@ def words_of(text: str | None) -> list[str]:
 class Rule:
     """What counts as a leak. The stretch spans ``share`` of an item's words, in order; at most ``item_gap - 1`` words
     of it in a row are replaced or lost and at most ``text_gap - 1`` foreign words stand in between; ``dense``: the least part
-    of the stretch that is matched, ``matched``: the same as a part of the item. ``seed``: words of the shortest verbatim match that is looked at, ``seeded``: the least share of the item's
-    words under such matches."""
+    of the stretch that is matched, ``matched``: the same as a part of the item. ``seed``: words of the shortest verbatim match that is looked at. A text and an item are
+    aligned if such matches cover ``seeded`` of the item's words, or ``thin`` with one of ``long`` words among them. With one word in
+    four replaced, all a stretch may lose, runs of three still cover 0.75 * ``share``."""
 
     share: float = 0.39
     item_gap: int = 4
@@ -51,7 +52,9 @@ class Rule:
     dense: float = 0.75
     matched: float = 0.36
     seed: int = 3
-    seeded: float = 0.15
+    seeded: float = 0.25
+    thin: float = 0.15
+    long: int = 5
 
 
 class ItemIndex:
@@ -216,13 +219,17 @@ def shard_leaks(
     gained = np.maximum(0, base + end - np.maximum(base + offset, np.where(new, 0, before)))
     covered = np.bincount(group, gained)
     n_words = np.array([len(c) for c in index.codes])
-    for g in np.flatnonzero(covered >= rule.seeded * n_words[pair[new] % len(index.ids)]):
-        d, i = divmod(int(pair[new][g]), len(index.ids))
+    first = np.flatnonzero(new)
+    longest = np.maximum.reduceat(length, first)
+    doc_of, item_of = np.divmod(pair[first], len(index.ids))
+    enough = n_words[item_of]
+    hopeful = (covered >= rule.seeded * enough) | ((covered >= rule.thin * enough) & (longest >= rule.long))
+    for g in np.flatnonzero(hopeful):
+        d, i = int(doc_of[g]), int(item_of[g])
         span, matched = longest_stretch(index.codes[i], docs[d][1], rule)
         share = span / n_words[i]
         if share >= rule.share and matched >= rule.matched * n_words[i]:
-            members = np.arange(np.searchsorted(group, g), np.searchsorted(group, g, "right"))
-            top = members[np.argmax(length[members])]
+            top = first[g] + int(np.argmax(length[first[g] : first[g + 1] if g + 1 < len(first) else None]))
             yield docs[d][0], index.ids[i], int(length[top]), int(at[top] - start[d]), matched, float(share)
 
 
