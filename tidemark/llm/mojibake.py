@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,11 @@ RIGHT = (
     "cp1253", "iso8859-7", "cp1254", "iso8859-9", "iso8859-5", "gb18030", "shift_jis", "euc_jp", "big5", "euc_kr",
 )
 REPLACEMENT = "�"
+_NEVER = "\uffff"  #: a code point that is no character
 SLOTS = 1 << 20  #: counters of the character model; its size is fixed, whatever the corpus
 CHARS = 1 << 16
 
 _TOKEN = regex.compile(r"[A-Za-z]*[^\x00-\x7f](?:[A-Za-z]|[^\x00-\x7f])*")
-_MULTI = regex.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _RUN = regex.compile(r"[^\x00-\x7f]+")
 _SENTENCE = r"(?<=[.?!。？！])\s+|[\r\n]+"
 
@@ -37,15 +39,39 @@ _SENTENCE = r"(?<=[.?!。？！])\s+|[\r\n]+"
 def encode_table(codec: str) -> dict[str, int]:
     """Character to byte of a single-byte encoding. Bytes that it leaves undefined stand
     for the control character of the same number, as lenient decoders give them."""
-    table = {}
-    for b in range(256):
-        try:
-            table[bytes([b]).decode(codec)] = b
-        except UnicodeDecodeError:
-            table[chr(b)] = b
+    table: dict[str, int] = {}
+    for b, c in enumerate(_decode_table(codec)):
+        table.setdefault(c, b)
     return table
 
 
+@lru_cache(maxsize=None)
+def _sequence(wrong: str) -> regex.Pattern:
+    """What a UTF-8 sequence of several bytes looks like when it is read as ``wrong``."""
+    decode = _decode_table(wrong)
+    some = lambda a, b: "[" + "".join(map(regex.escape, decode[a:b])) + "]"
+    on = some(0x80, 0xC0)
+    return regex.compile(f"{some(0xC2, 0xE0)}{on}|{some(0xE0, 0xF0)}{on}{{2}}|{some(0xF0, 0xF5)}{on}{{3}}")
+
+
+@lru_cache(maxsize=None)
+def _mapping(wrong: str, right: str) -> dict[int, str] | None:
+    """Character to character between two single-byte encodings; a character that ``right`` lacks becomes
+    ``_NEVER``. None where ``right`` has sequences of bytes."""
+    if right in ("gb18030", "shift_jis", "euc_jp", "big5", "euc_kr", "utf-8"):
+        return None
+    out = {}
+    for c, b in encode_table(wrong).items():
+        if c > "\x7f":
+            try:
+                new = bytes([b]).decode(right)
+            except UnicodeDecodeError:
+                new = _NEVER
+            if new != c:
+                out[ord(c)] = new
+    return out
+
+
 def undo(text: str, wrong: str, right: str) -> str | None:
     """The text before it was decoded as ``wrong`` instead of ``right``; None where that cannot be.
 
@@ -53,54 +79,42 @@ def undo(text: str, wrong: str, right: str) -> str | None:
     a multi-byte sequence, stay as they are.
     """
     table = encode_table(wrong)
-    out, run, changed = [], bytearray(), False
-
-    def flush() -> bool:
-        nonlocal changed
-        if not run:
-            return True
-        raw = bytes(run)
-        run.clear()
-        if right == "utf-8":
-            at = 0
-            for m in _MULTI.finditer(raw):
-                try:
-                    piece = m.group().decode("utf-8")
-                except UnicodeDecodeError:
-                    continue
-                out.append(back(raw[at : m.start()]) + piece)
-                at, changed = m.end(), True
-            out.append(back(raw[at:]))
-            return True
-        try:
-            new = raw.decode(right)
-        except UnicodeDecodeError:
-            return False
-        old = back(raw)
-        changed |= new != old
-        out.append(new)
-        return True
-
-    reverse = _decode_table(wrong)
-    back = lambda raw: "".join(reverse[b] for b in raw)
-    for c in text:
-        b = table.get(c)
-        if b is None:
-            if not flush():
+    if right == "utf-8":
+
+        def read(m: regex.Match) -> str:
+            try:
+                return bytes([table[c] for c in m.group()]).decode("utf-8")
+            except UnicodeDecodeError:
+                return m.group()
+
+        new = _sequence(wrong).sub(read, text)
+    elif (mapping := _mapping(wrong, right)) is not None:
+        new = text.translate(mapping)
+        if _NEVER in new:
+            return None
+    else:
+        # Pieces that ``wrong`` can give, and what stands between them.
+        out: list[str] = []
+        for inside, piece in groupby(text, lambda c: c in table):
+            part = "".join(piece)
+            try:
+                out.append(bytes([table[c] for c in part]).decode(right) if inside else part)
+            except UnicodeDecodeError:
                 return None
-            out.append(c)
-        else:
-            run.append(b)
-    if not flush() or not changed:
-        return None
-    return "".join(out)
+        new = "".join(out)
+    return None if new == text else new
 
 
 @lru_cache(maxsize=None)
 def _decode_table(codec: str) -> list[str]:
-    return [c for c, _ in sorted(encode_table(codec).items(), key=lambda x: x[1])] if len(encode_table(codec)) == 256 else [
-        next((c for c, b in encode_table(codec).items() if b == i), chr(i)) for i in range(256)
-    ]
+    """Byte to character; the control character of the same number where the encoding has none."""
+    out = []
+    for b in range(256):
+        try:
+            out.append(bytes([b]).decode(codec))
+        except UnicodeDecodeError:
+            out.append(chr(b))
+    return out
 
 
 def explain(garbled: str, clean: str) -> tuple[str, list[str]] | None:
@@ -155,7 +169,9 @@ def learn_transformations(df: DataFrame, text: str, least: int = 2) -> list[tupl
     skeleton; a skeleton with many variants yields one pair per variant, not all pairs.
     Only counts of sets of the catalogue's encodings reach the driver.
     """
-    parts = df.select(F.explode(F.split(F.col(f"`{text}`"), _SENTENCE)).alias("s")).where(F.col("s").rlike(r"[^\x00-\x7f]"))
+    beyond_ascii = lambda c: F.octet_length(c) > F.length(c)
+    whole = F.col(f"`{text}`").cast("string")
+    parts = df.where(beyond_ascii(whole)).select(F.explode(F.split(whole, _SENTENCE)).alias("s")).where(beyond_ascii(F.col("s")))
     skeleton = F.regexp_replace("s", r"[^\x00-\x7f]+", "")
     parts = parts.withColumn("k", F.xxhash64(skeleton)).where(F.length(F.regexp_replace(skeleton, "[^A-Za-z]", "")) >= 6)
     variants = parts.groupBy("k", "s").agg(F.count("*").alias("n"))
@@ -181,9 +197,12 @@ def learn_transformations(df: DataFrame, text: str, least: int = 2) -> list[tupl
     return choose(sorted((r[0], r[1].split(" "), r[2]) for r in rows.collect()), least)
 
 
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
 def _units(token: str) -> str:
     """A token with its edges marked and its ASCII letters in lower case."""
-    return "\x02" + regex.sub(r"[A-Z]+", lambda m: m.group().lower(), token) + "\x03"
+    return "\x02" + token.translate(_LOWER) + "\x03"
 
 
 def _slots(a: str, b: str) -> tuple[int, int]:
@@ -202,19 +221,28 @@ class CharacterModel:
     def __post_init__(self) -> None:
         self.total = max(1, int(self.chars.sum()))
         self.kinds = max(1, int((self.chars > 0).sum()))
+        self.known: dict[str, float] = {}
+
+    def pair(self, pair: str) -> float:
+        """Negative log probability of the second character after the first; 0 for two ASCII characters."""
+        if pair.isascii():
+            return 0.0
+        if (cost := self.known.get(pair)) is None:
+            a, b = pair
+            ca, cb = int(self.chars[ord(a) % CHARS]), int(self.chars[ord(b) % CHARS])
+            # Pairs may share counters; a pair is never commoner than the rarer of its counters and characters.
+            i, j = _slots(a, b)
+            n = min(int(self.pairs[i]), int(self.pairs[j]), ca, cb)
+            cost = -math.log(0.7 * n / (ca + 1) + 0.299 * cb / self.total + 0.001 / self.kinds)
+            if len(self.known) > 500_000:
+                self.known.clear()
+            self.known[pair] = cost
+        return cost
 
     def surprise(self, token: str) -> float:
         """Negative log probability of the token's pairs that touch a non-ASCII character."""
-        u, out = _units(token), 0.0
-        for a, b in zip(u, u[1:]):
-            if a > "\x7f" or b > "\x7f":
-                ca, cb = self.chars[ord(a) % CHARS], self.chars[ord(b) % CHARS]
-                # Pairs may share counters; a pair is never commoner than the rarer of its counters and characters.
-                i, j = _slots(a, b)
-                n = min(self.pairs[i], self.pairs[j], ca, cb)
-                p = 0.7 * n / (ca + 1) + 0.299 * cb / self.total + 0.001 / self.kinds
-                out -= math.log(p)
-        return out
+        u = _units(token)
+        return sum([self.pair(u[i : i + 2]) for i in range(len(u) - 1)])
 
 
 def character_model(df: DataFrame, text: str) -> CharacterModel:
@@ -352,6 +380,17 @@ class Repairer:
         return Verdict(restored, reason, utf8 + sum(single.values()))
 
 
+#: The repairer of the query that a worker process served last; its tokens serve the next partition too.
+_LAST: tuple[str, Repairer] | None = None
+
+
+def _repairer(query: str, learned, cut: Cutoffs) -> Repairer:
+    global _LAST
+    if _LAST is None or _LAST[0] != query:
+        _LAST = (query, Repairer(*learned.value, cut))
+    return _LAST[1]
+
+
 def garbled_texts(df: DataFrame, key: str, text: str, cut: Cutoffs = Cutoffs(), least: int = 2) -> DataFrame:
     """Records with text decoded by the wrong encoding, and their text restored where it can be.
 
@@ -374,9 +413,10 @@ def garbled_texts(df: DataFrame, key: str, text: str, cut: Cutoffs = Cutoffs(),
     spark = df.sparkSession
     transformations = learn_transformations(df, text, least)
     learned = spark.sparkContext.broadcast((transformations, character_model(df, text)))
+    query = uuid.uuid4().hex
 
     def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repairer = Repairer(*learned.value, cut)
+        repairer = _repairer(query, learned, cut)
         for b in batches:
             keep, restored, reason, complete = [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
