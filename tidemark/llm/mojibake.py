@@ -172,8 +172,8 @@ def learn_transformations(df: DataFrame, text: str, least: int = 2) -> list[tupl
     beyond_ascii = lambda c: F.octet_length(c) > F.length(c)
     whole = F.col(f"`{text}`").cast("string")
     parts = df.where(beyond_ascii(whole)).select(F.explode(F.split(whole, _SENTENCE)).alias("s")).where(beyond_ascii(F.col("s")))
-    skeleton = F.regexp_replace("s", r"[^\x00-\x7f]+", "")
-    parts = parts.withColumn("k", F.xxhash64(skeleton)).where(F.length(F.regexp_replace(skeleton, "[^A-Za-z]", "")) >= 6)
+    parts = parts.withColumn("skeleton", F.regexp_replace("s", r"[^\x00-\x7f]+", ""))
+    parts = parts.where(F.col("skeleton").rlike(r"(?:[A-Za-z][^A-Za-z]*){6}")).select(F.xxhash64("skeleton").alias("k"), "s")
     variants = parts.groupBy("k", "s").agg(F.count("*").alias("n"))
     best = (
         variants.groupBy("k")
