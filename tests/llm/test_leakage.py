@@ -92,6 +92,14 @@ def test_all_verbatim_matches():
     assert got == want
 
 
+def test_very_long_texts_and_items(spark):
+    rnd = random.Random(14)
+    many = [f"x{rnd.randrange(3000)}" for _ in range(12_000)]
+    text = [f"y{rnd.randrange(3000)}" for _ in range(150_000)]
+    docs = [(1, " ".join(text)), (2, " ".join([*text[:90_000], *many[2000:9000], *text[90_000:]])), (3, " ".join(many[:1500]))]
+    assert leaks(spark, docs, [(7, " ".join(many)), (8, "a b c")]) == {(2, 7)}
+
+
 def test_affected_documents_are_removed(spark):
     d = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "doc_id long, text string")
     hit = spark.createDataFrame([(1, 7), (1, 8)], "doc_id long, item_id long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -70,13 +71,14 @@ class ItemIndex:
                 self.ids.append(item_id)
                 self.codes.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int32))
         self.longest = max((len(c) for c in self.codes), default=0)
-        self.item_of = np.repeat(np.arange(len(self.codes)), [len(c) for c in self.codes])
-        self.offset = np.concatenate([np.arange(len(c)) for c in self.codes]) if self.codes else np.zeros(0, int)
-        # Every suffix of every item, padded with 0, which is below all codes.
-        self.suffix = np.zeros((len(self.item_of), self.longest), np.int32)
-        for row, (k, o) in enumerate(zip(self.item_of, self.offset)):
-            tail = self.codes[k][o:]
-            self.suffix[row, : len(tail)] = tail
+        # All items in a row, each ended by a 0; a suffix is a place in it.
+        sizes = np.array([len(c) for c in self.codes], np.int64)
+        first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
+        self.flat = np.concatenate([x for c in self.codes for x in (c, [0])]).astype(np.int32) if self.codes else np.zeros(1, np.int32)
+        self.item_of = np.repeat(np.arange(len(sizes)), sizes)
+        self.offset = np.concatenate([np.arange(n) for n in sizes]) if len(sizes) else np.zeros(0, np.int64)
+        self.place = first[self.item_of] + self.offset
+        self.remain = sizes[self.item_of] - self.offset
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -99,8 +101,8 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     return live[np.argsort(rank[live], kind="stable")]
 
 
-def _compare(codes: np.ndarray, at: np.ndarray, query: np.ndarray, length: int) -> np.ndarray:
-    """Sign of text suffix minus query over ``length`` codes; a text's 0 is below everything and ends it."""
+def _compare(codes: np.ndarray, at: np.ndarray, flat: np.ndarray, query: np.ndarray, length: int) -> np.ndarray:
+    """Sign of text suffix minus item suffix over ``length`` codes; a text's 0 is below everything and ends it."""
     out = np.zeros(len(at), np.int8)
     open_ = np.ones(len(at), bool)
     for k in range(length):
@@ -108,21 +110,20 @@ def _compare(codes: np.ndarray, at: np.ndarray, query: np.ndarray, length: int)
         if not len(idx):
             break
         t = codes[at[idx] + k]
-        q = query[idx, k]
-        d = np.sign(t - q).astype(np.int8)
+        d = np.sign(t - flat[query[idx] + k]).astype(np.int8)
         out[idx] = d
         open_[idx] = (d == 0) & (t != 0)
     return out
 
 
-def search(codes: np.ndarray, sa: np.ndarray, query: np.ndarray, length: int, upper: bool) -> np.ndarray:
-    """Binary search of every query among the sorted suffixes, all at once: the first suffix not below
-    (``upper``: above) the query's first ``length`` codes."""
+def search(codes: np.ndarray, sa: np.ndarray, flat: np.ndarray, query: np.ndarray, length: int, upper: bool) -> np.ndarray:
+    """Binary search of every item suffix among the sorted text suffixes, all at once: the first one not below
+    (``upper``: above) the item suffix's first ``length`` codes."""
     lo, hi = np.zeros(len(query), np.int64), np.full(len(query), len(sa), np.int64)
     while (lo < hi).any():
         idx = np.flatnonzero(lo < hi)
         mid = (lo[idx] + hi[idx]) // 2
-        c = _compare(codes, sa[mid], query[idx], length)
+        c = _compare(codes, sa[mid], flat, query[idx], length)
         go = (c <= 0) if upper else (c < 0)
         lo[idx[go]] = mid[go] + 1
         hi[idx[~go]] = mid[~go]
@@ -130,35 +131,33 @@ def search(codes: np.ndarray, sa: np.ndarray, query: np.ndarray, length: int, up
 
 
 def verbatim_matches(codes: np.ndarray, index: ItemIndex, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All longest verbatim matches of at least ``least`` words: (suffix row, text position, length).
+    """All longest verbatim matches of at least ``least`` words: (suffix, text position, length).
 
     Left-maximal only: a match that goes on to the left is reported from its beginning.
     """
     none = np.zeros(0, np.int64)
-    if index.longest < least or not len(codes):
+    if index.longest < least or not np.count_nonzero(codes):
         return none, none, none
-    codes = np.concatenate([codes, np.zeros(index.longest + 1, np.int32)])
     sa = suffix_array(codes, index.longest)
-    rows = np.flatnonzero(index.suffix[:, least - 1] > 0)
-    query = index.suffix[rows]
-    lo = search(codes, sa, query, least, False)
-    hi = search(codes, sa, query, least, True)
+    codes = np.concatenate([codes, np.zeros(least + 1, np.int32)])
+    rows = np.flatnonzero(index.remain >= least)
+    lo = search(codes, sa, index.flat, index.place[rows], least, False)
+    hi = search(codes, sa, index.flat, index.place[rows], least, True)
     count = hi - lo
     which = np.repeat(rows, count)
     first = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
     at = sa[first + np.arange(len(which))] if len(which) else none
+    place = index.place[which]
     before_text = np.where(at > 0, codes[np.maximum(at - 1, 0)], 0)
-    before_item = np.where(index.offset[which] > 0, index.suffix[np.maximum(which - 1, 0), 0], -1)
+    before_item = np.where(index.offset[which] > 0, index.flat[np.maximum(place - 1, 0)], -1)
     keep = before_text != before_item
-    which, at = which[keep], at[keep]
+    which, at, place = which[keep], at[keep], place[keep]
     length = np.full(len(which), least)
     going = np.arange(len(which))
     while len(going):
         k = length[going]
-        inside = k < index.longest
-        going, k = going[inside], k[inside]
-        same = (codes[at[going] + k] == index.suffix[which[going], k]) & (index.suffix[which[going], k] > 0)
-        going = going[same]
+        item_word = index.flat[place[going] + k]  # 0 ends an item
+        going = going[(codes[at[going] + k] == item_word) & (item_word > 0)]
         length[going] += 1
     return which, at, length
 
@@ -172,20 +171,23 @@ def longest_stretch(item: np.ndarray, text: np.ndarray, rule: Rule) -> tuple[int
         if w in wanted:
             places[w].append(j)
     best = (0, 0)
-    recent: list[list[tuple[int, int, int]]] = []  # per item position: (text position, matched, first item position)
+    recent: list[tuple[list[int], list[tuple[int, int]]]] = []  # of the last item words: text positions, (matched, first item word)
     for i, w in enumerate(item.tolist()):
         here = []
         for j in places.get(w, ()):
             matched, first = 1, i
-            for back in range(1, min(rule.item_gap, i) + 1):
-                for pj, pm, pf in recent[i - back]:
-                    if 0 < j - pj <= rule.text_gap and (pm + 1 > matched or (pm + 1 == matched and pf < first)):
+            for positions, chains in recent:
+                for x in range(bisect_left(positions, j - rule.text_gap), bisect_left(positions, j)):
+                    pm, pf = chains[x]
+                    if pm + 1 > matched or (pm + 1 == matched and pf < first):
                         matched, first = pm + 1, pf
-            here.append((j, matched, first))
+            here.append((matched, first))
             span = i - first + 1
             if matched >= rule.dense * span and matched > best[1]:
                 best = (span, matched)
-        recent.append(here)
+        recent.append((places.get(w, []), here))
+        if len(recent) > rule.item_gap:
+            recent.pop(0)
     return best
 
 
@@ -226,10 +228,14 @@ def shard_leaks(
     hopeful = (covered >= rule.seeded * enough) | ((covered >= rule.thin * enough) & (longest >= rule.long))
     for g in np.flatnonzero(hopeful):
         d, i = int(doc_of[g]), int(item_of[g])
-        span, matched = longest_stretch(index.codes[i], docs[d][1], rule)
+        members = slice(first[g], first[g + 1] if g + 1 < len(first) else None)
+        # Words beyond two gaps from every match can't belong to its stretch.
+        begin = max(0, int(at[members].min() - start[d]) - 2 * rule.text_gap)
+        stop = int((at[members] + length[members]).max() - start[d]) + 2 * rule.text_gap
+        span, matched = longest_stretch(index.codes[i], docs[d][1][begin:stop], rule)
         share = span / n_words[i]
         if share >= rule.share and matched >= rule.matched * n_words[i]:
-            top = first[g] + int(np.argmax(length[first[g] : first[g + 1] if g + 1 < len(first) else None]))
+            top = first[g] + int(np.argmax(length[members]))
             yield docs[d][0], index.ids[i], int(length[top]), int(at[top] - start[d]), matched, float(share)
 
 
