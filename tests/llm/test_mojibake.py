@@ -79,3 +79,11 @@ def test_choose_takes_the_fewest():
     seen = [("utf-8", ["cp1252", "latin-1"], 5), ("utf-8", ["latin-1"], 1), ("cp850", ["cp1252", "cp1254"], 3), ("cp850", ["cp1254", "cp1253"], 1)]
     assert M.choose(seen, 2) == [("latin-1", "utf-8"), ("cp1254", "cp850"), ("cp1252", "utf-8"), ("cp1254", "utf-8"), ("cp1253", "utf-8")]
     assert M.choose([], 2) == []
+
+
+def test_very_long_tokens(spark):
+    long = "é" * 50_000 + "的" * 50_000
+    rows = corpus()[:50] + [(1, long), (2, garble(CLEAN[0], "utf-8", "cp1252")), (3, garble("é" * 3000 + CLEAN[0], "utf-8", "cp1252"))]
+    df = spark.createDataFrame([(k + 10_000, t) for k, t in rows[:50]] + rows[50:], "doc_id long, text string")
+    got = {r.doc_id: r.restored for r in M.garbled_texts(df, "doc_id", "text").collect()}
+    assert got == {2: CLEAN[0], 3: "é" * 3000 + CLEAN[0]}

@@ -29,6 +29,8 @@ REPLACEMENT = "�"
 _NEVER = "\uffff"  #: a code point that is no character
 SLOTS = 1 << 20  #: counters of the character model; its size is fixed, whatever the corpus
 CHARS = 1 << 16
+#: Tokens that a task remembers, and the longest that it does: a bound of its memory, never of what is looked at.
+TOKENS_KEPT, LONGEST_KEPT = 200_000, 200
 
 _TOKEN = regex.compile(r"[A-Za-z]*[^\x00-\x7f](?:[A-Za-z]|[^\x00-\x7f])*")
 _RUN = regex.compile(r"[^\x00-\x7f]+")
@@ -346,9 +348,10 @@ class Repairer:
             gain = cost(token) - least
             if gain >= (self.cut.multi if reached[new] else self.cut.single):
                 now, total, multi = new, gain, reached[new]
-        if len(self.known) > 200_000:
-            self.known.clear()
-        self.known[token] = (now, total, multi)
+        if len(token) <= LONGEST_KEPT:
+            if len(self.known) > TOKENS_KEPT:
+                self.known.clear()
+            self.known[token] = (now, total, multi)
         return now, total, multi
 
     def text(self, text: str) -> Verdict:
