@@ -21,6 +21,7 @@ class Limits:
     """Cutoffs in robust standard deviations of the source's own residuals, and run lengths."""
 
     price: float = 6.5
+    volume: float = 4.0
     wick: float = 7.0
     volume_log10: float = 1.35
     run: int = 5
@@ -151,14 +152,18 @@ def judge(seg, o, h, l, c, v, lim: Limits) -> dict[str, np.ndarray]:  # noqa: E7
         wick = np.maximum(lp[1] - top, bottom - lp[2]) / scale[seg] if n else np.zeros(0)
         range_ = wick >= lim.wick
         volume = np.where(v > 0, np.log10(np.where(v > 0, v, 1)), np.nan)
-    # A lasting change of volume moves the neighbourhood along; a reading alone does not.
+    # A reading of volume must be an additive outlier of its autoregression and lie a factor away from its neighbours'
+    # median: the first test lets lasting changes pass, the second busy days.
+    outlier, _ = additive_outliers(volume, seg, n, lim.volume, lim)
     around = np.vstack([_neighbour_valid(volume, seg, k) for k in (-5, -4, -3, -2, -1, 1, 2, 3, 4, 5)]) if n else np.zeros((10, 0))
     with np.errstate(invalid="ignore"):
         own = segment_median(volume, seg, n)[seg] if n else volume
         local = np.where(np.sum(~np.isnan(around), axis=0) >= 3, _median(around), np.nan)
         far = lambda ref: np.abs(volume - ref) >= lim.volume_log10
+        # The first and the last reading have one neighbour; there the source's own median stands for the other.
+        edge = np.isnan(_neighbour_valid(volume, seg, -1)) | np.isnan(_neighbour_valid(volume, seg, 1))
         enough = np.bincount(seg[~np.isnan(volume)], minlength=n)[seg] >= lim.least_rows if n else np.zeros(0, bool)
-        vol = far(local) & enough & (far(own) | (np.abs(volume - local) >= 1.5 * lim.volume_log10))
+        vol = far(local) & (outlier | (edge & enough & far(own)))
     stuck_c = runs(np.where(null[3] | ~np.isfinite(c), np.nan, c), seg, lim.run)
     stuck_v = runs(np.where((v == 0) | np.isnan(v), np.nan, v), seg, lim.run)
     return dict(zip(REASONS, (limit, contradiction, price, range_, vol, stuck_c, stuck_v)))
@@ -195,8 +200,8 @@ def implausible_readings(
     - ``price_spike``: the close is an additive outlier of the source's robust autoregression; a
       lasting change of level is a level shift and no case.
     - ``range_spike``: high or low lies outside the row's body by ``limits.wick`` of the source's scales.
-    - ``volume_spike``: a volume a factor of ``10 ** volume_log10`` away from its neighbours' median and
-      from the source's own.
+    - ``volume_spike``: the volume's logarithm is an additive outlier of its robust autoregression and a factor of
+      ``10 ** volume_log10`` away from its neighbours' median; a first or last volume, also from the source's own.
     - ``stuck_*``: an unchanged close or volume in at least ``limits.run`` consecutive bars, the first aside.
     - Null prices and null or zero volume are no reading; rows with any null price take no
       part in the spike tests. Sources of fewer than ``least_rows`` rows have no spikes. Rows
