@@ -105,14 +105,14 @@ def non_finite_rows(spark, root):
 
 
 @query("bars_upsert_keep_last", """WITH u AS (SELECT symbol, date, close, volume, fetched_at, CASE WHEN fetched_at < TIMESTAMPTZ '2025-01-01 00:00:00+00' THEN 0 ELSE 1 END AS batch FROM bars)
-SELECT symbol, date, close, volume, batch FROM u QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY batch DESC, fetched_at DESC) = 1""")
+SELECT symbol, date, close, CAST(volume AS DOUBLE) AS volume, batch FROM u QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY batch DESC, fetched_at DESC) = 1""")
 def bars_upsert_keep_last(spark, root):
     """A later batch merged into what was there: the last delivery of each key stays."""
     b = table(spark, root, "bars", ["symbol", "date", "close", "volume", "fetched_at"])
     cut = F.lit("2025-01-01 00:00:00").cast("timestamp")
     old, new = b.where(F.col("fetched_at") < cut), b.where(F.col("fetched_at") >= cut)
     both = old.withColumn("batch", F.lit(0)).unionByName(new.withColumn("batch", F.lit(1)))
-    return dedupe.keep_last(both, ["symbol", "date"], ["batch", "fetched_at"]).select("symbol", "date", "close", "volume", "batch")
+    return dedupe.keep_last(both, ["symbol", "date"], ["batch", "fetched_at"]).select("symbol", "date", "close", F.col("volume").cast("double"), "batch")
 
 
 _ROWS = "OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
@@ -305,11 +305,11 @@ def equal_weight_basket(spark, root):
 
 
 @query("trailing_stop", f""", t AS (SELECT symbol, date, close, max(close) {_ROWS.format(20)} * 0.92 AS stop FROM b)
-SELECT symbol, date, round(stop, 6) AS stop, close < lag(stop) {_ORD} AS hit FROM t""")
+SELECT symbol, date, round(stop, 6) AS stop, coalesce(close < lag(stop) {_ORD}, false) AS hit FROM t""")
 def trailing_stop(spark, root):
     """A stop 8 % under the highest close of 21 bars, and whether the next close falls below it."""
     t = clean_bars(spark, root).withColumn("stop", S.rolling_extreme("close", 21, 1, "max") * 0.92)
-    return t.select("symbol", "date", r6(F.col("stop"), "stop"), (F.col("close") < F.lag("stop").over(S.by("symbol", "date"))).alias("hit"))
+    return t.select("symbol", "date", r6(F.col("stop"), "stop"), F.coalesce(F.col("close") < F.lag("stop").over(S.by("symbol", "date")), F.lit(False)).alias("hit"))
 
 
 @query("sharpe_by_symbol", f""", r AS (SELECT symbol, close / lag(close) {_ORD} - 1 AS r FROM b)

@@ -107,15 +107,15 @@ def latest_change(spark, root):
 @query("filing_proximity", f"""WITH {VER}, {FIL}, v AS (SELECT DISTINCT run_id, symbol, as_of FROM ver), f AS (SELECT DISTINCT symbol, CAST(filed_at AS DATE) AS day FROM fil),
 j AS (SELECT v.run_id, v.symbol, v.as_of, max(f.day) AS last_filed FROM v LEFT JOIN f ON f.symbol = v.symbol AND f.day <= v.as_of GROUP BY ALL),
 n AS (SELECT *, CASE WHEN last_filed IS NULL THEN NULL WHEN as_of <= last_filed THEN 0 ELSE len(list_filter(generate_series(last_filed + 1, as_of, INTERVAL 1 DAY), lambda d: isodow(d) <= 5)) END AS days FROM j)
-SELECT run_id, symbol, CAST(days AS INTEGER) AS business_days, CASE WHEN days IS NULL THEN 'none' WHEN days <= 3 THEN 'recent' WHEN days <= 20 THEN 'near' ELSE 'clear' END AS class FROM n""")
+SELECT run_id, symbol, CAST(coalesce(days, -1) AS INTEGER) AS business_days, CASE WHEN days IS NULL THEN 'none' WHEN days <= 3 THEN 'recent' WHEN days <= 20 THEN 'near' ELSE 'clear' END AS class FROM n""")
 def filing_proximity(spark, root):
-    """Weekdays since the last filing that was known on a verdict's day."""
+    """Weekdays since the last filing that was known on a verdict's day, -1 for none."""
     v = verdicts(spark, root).select("run_id", "symbol", "as_of").distinct()
     f = filings(spark, root).select("symbol", F.to_date("filed_at").alias("day")).distinct().withColumn("last_filed", F.col("day"))
     t = asof.known_as_of(v, f, ["symbol"], "as_of", "day", ["day"], ["last_filed"])
     t = t.withColumn("n", stats.business_days(F.col("last_filed"), F.col("as_of")))
     n = F.col("n")
-    return t.select("run_id", "symbol", n.alias("business_days"), F.when(n.isNull(), "none").when(n <= 3, "recent").when(n <= 20, "near").otherwise("clear").alias("class"))
+    return t.select("run_id", "symbol", F.coalesce(n, F.lit(-1)).alias("business_days"), F.when(n.isNull(), "none").when(n <= 3, "recent").when(n <= 20, "near").otherwise("clear").alias("class"))
 
 
 @query("loss_streaks", f"""WITH {OUT}, d AS (SELECT DISTINCT strategy_key, as_of, symbol, run_id, r FROM o), t AS (SELECT *, CASE WHEN r < 0 THEN 1 ELSE 0 END AS lost, sum(CASE WHEN r < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY strategy_key ORDER BY as_of, symbol, run_id) AS island FROM d),

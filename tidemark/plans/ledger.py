@@ -139,7 +139,7 @@ def symbol_sector_asof(spark, root):
 
 @query("verdict_scorecard", f"""WITH {OUT}, {RUN}, {MEM}, {SIG}, ss AS (SELECT run_date, symbol, count(*) AS n_signals, max(strength) AS top_strength FROM sig GROUP BY ALL),
 v AS (SELECT DISTINCT run_id, symbol, as_of, strategy_key, recommendation FROM ver)
-SELECT v.run_id, v.symbol, v.as_of, v.strategy_key, v.recommendation, run.mode, run.status, o.r, ss.n_signals, ss.top_strength FROM v
+SELECT v.run_id, v.symbol, v.as_of, v.strategy_key, v.recommendation, run.mode, run.status, o.r, coalesce(ss.n_signals, 0) AS n_signals, ss.top_strength FROM v
 JOIN run USING (run_id) LEFT JOIN (SELECT DISTINCT run_id, symbol, r FROM o) o ON o.run_id = v.run_id AND o.symbol = v.symbol LEFT JOIN ss ON ss.run_date = v.as_of AND ss.symbol = v.symbol""")
 def verdict_scorecard(spark, root):
     """Verdicts with their run, outcome and signals. Many-sided tables are aggregated to the join key first, so no join fans out."""
@@ -148,7 +148,7 @@ def verdict_scorecard(spark, root):
     o = outcomes(spark, root).select("run_id", "symbol", "r").distinct()
     t = v.join(last_runs(spark, root).select("run_id", "mode", "status"), "run_id").join(o, ["run_id", "symbol"], "left")
     t = t.join(s.withColumnRenamed("run_date", "as_of"), ["as_of", "symbol"], "left")
-    return t.select("run_id", "symbol", "as_of", "strategy_key", "recommendation", "mode", "status", "r", "n_signals", "top_strength")
+    return t.select("run_id", "symbol", "as_of", "strategy_key", "recommendation", "mode", "status", "r", F.coalesce("n_signals", F.lit(0)).alias("n_signals"), "top_strength")
 
 
 @query("runs_without_verdicts", f"WITH {RUN} SELECT run_id, run_date, status FROM run WHERE NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.run_id = run.run_id)")
@@ -412,9 +412,9 @@ def sector_counts(spark, root):
     return members(spark, root).groupBy("snapshot_date", F.coalesce("sector", F.lit("unknown")).alias("sector")).agg(F.count("*").alias("n"))
 
 
-@query("sector_rollup", f"WITH {MEM} SELECT year(snapshot_date) AS year, coalesce(sector, 'unknown') AS sector, count(*) AS n, count(DISTINCT symbol) AS n_symbols FROM mem GROUP BY ROLLUP (year(snapshot_date), coalesce(sector, 'unknown'))")
+@query("sector_rollup", f"WITH {MEM} SELECT strftime(snapshot_date, '%Y') AS year, coalesce(sector, 'unknown') AS sector, count(*) AS n, count(DISTINCT symbol) AS n_symbols FROM mem GROUP BY ROLLUP (strftime(snapshot_date, '%Y'), coalesce(sector, 'unknown'))")
 def sector_rollup(spark, root):
-    m = members(spark, root).select(F.year("snapshot_date").cast("long").alias("year"), F.coalesce("sector", F.lit("unknown")).alias("sector"), "symbol")
+    m = members(spark, root).select(F.date_format("snapshot_date", "yyyy").alias("year"), F.coalesce("sector", F.lit("unknown")).alias("sector"), "symbol")
     return m.rollup("year", "sector").agg(F.count("*").alias("n"), F.count_distinct("symbol").alias("n_symbols"))
 
 
