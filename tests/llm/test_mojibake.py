@@ -87,3 +87,11 @@ def test_very_long_tokens(spark):
     df = spark.createDataFrame([(k + 10_000, t) for k, t in rows[:50]] + rows[50:], "doc_id long, text string")
     got = {r.doc_id: r.restored for r in M.garbled_texts(df, "doc_id", "text").collect()}
     assert got == {2: CLEAN[0], 3: "é" * 3000 + CLEAN[0]}
+
+
+def test_copies_of_a_garbled_text_do_not_pass_for_language(spark):
+    bad = garble(" ".join(CLEAN[:3]), "utf-8", "cp1252")
+    rows = [(k, f"{t} In {k} " + CLEAN[k % 7].replace(" ", f" {k} ", 1)) for k, t in corpus()]
+    df = spark.createDataFrame(rows + [(1000 + k, bad) for k in range(200)], "doc_id long, text string")
+    got = M.garbled_texts(df, "doc_id", "text").collect()
+    assert {r.doc_id for r in got} == set(range(1000, 1200)) and {r.restored for r in got} == {" ".join(CLEAN[:3])}

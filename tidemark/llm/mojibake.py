@@ -13,6 +13,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,31 +160,35 @@ def choose(seen: list[tuple[str, list[str], int]], least: int) -> list[tuple[str
     return out
 
 
-def learn_transformations(df: DataFrame, text: str, least: int = 2) -> list[tuple[str, str]]:
-    """Transformations (wrong, right) found between near-twins of the corpus.
+def sentences(df: DataFrame, text: str) -> DataFrame:
+    """Distinct sentences and lines with a non-ASCII character (``s``), and how often each stands in the corpus (``n``).
+    Counts are combined map-side, so copies of a text, however many, shrink before the shuffle."""
+    beyond_ascii = lambda c: F.octet_length(c) > F.length(c)
+    whole = F.col(f"`{text}`").cast("string")
+    parts = df.where(beyond_ascii(whole)).select(F.explode(F.split(whole, _SENTENCE)).alias("s")).where(beyond_ascii(F.col("s")))
+    return parts.groupBy("s").agg(F.count("*").alias("n"))
+
+
+def learn_transformations(variants: DataFrame, least: int = 2) -> list[tuple[str, str]]:
+    """Transformations (wrong, right) found between near-twins among ``sentences``.
 
     Twins are sentences or lines that are the same once their non-ASCII characters are taken
     out. Each variant is set against the commonest of its skeleton: the ASCII
     characters anchor the two, so the runs between them align one to one, and the alignment
     shows the encodings (``explain``); ``choose`` picks those that account for all.
 
-    Scale: distinct sentences with their counts (map-side combined) are joined with one representative per
-    skeleton; a skeleton with many variants yields one pair per variant, not all pairs.
-    Only counts of sets of the catalogue's encodings reach the driver.
+    Scale: distinct sentences are joined with one representative per skeleton; a skeleton with many variants yields one
+    pair per variant, not all pairs. Only counts of sets of the catalogue's encodings reach the driver.
     """
-    beyond_ascii = lambda c: F.octet_length(c) > F.length(c)
-    whole = F.col(f"`{text}`").cast("string")
-    parts = df.where(beyond_ascii(whole)).select(F.explode(F.split(whole, _SENTENCE)).alias("s")).where(beyond_ascii(F.col("s")))
-    parts = parts.withColumn("skeleton", F.regexp_replace("s", r"[^\x00-\x7f]+", ""))
-    parts = parts.where(F.col("skeleton").rlike(r"(?:[A-Za-z][^A-Za-z]*){6}")).select(F.xxhash64("skeleton").alias("k"), "s")
-    variants = parts.groupBy("k", "s").agg(F.count("*").alias("n"))
+    keyed = variants.withColumn("skeleton", F.regexp_replace("s", r"[^\x00-\x7f]+", ""))
+    keyed = keyed.where(F.col("skeleton").rlike(r"(?:[A-Za-z][^A-Za-z]*){6}")).select(F.xxhash64("skeleton").alias("k"), "s", "n")
     best = (
-        variants.groupBy("k")
+        keyed.groupBy("k")
         .agg(F.max(F.struct("n", F.col("s").alias("rep"))).alias("m"), F.count("*").alias("variants"))
         .where("variants > 1")
         .select("k", F.col("m.rep").alias("rep"))
     )
-    pairs = variants.join(best, "k").where("s != rep").select("s", "rep")
+    pairs = keyed.join(best, "k").where("s != rep").select("s", "rep")
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[tuple[str, str]] = Counter()
@@ -247,17 +252,19 @@ class CharacterModel:
         return sum([self.pair(u[i : i + 2]) for i in range(len(u) - 1)])
 
 
-def character_model(df: DataFrame, text: str) -> CharacterModel:
-    """Counts of all character pairs of the corpus's non-ASCII tokens. The result has 2 * ``SLOTS`` + ``CHARS``
+def character_model(variants: DataFrame) -> CharacterModel:
+    """Counts of all character pairs in the non-ASCII tokens of ``sentences``. A sentence counts with its number to the power 0.75,
+    so that copies of one garbled text, were they a third of the corpus, do not outweigh a language. The result has 2 * ``SLOTS`` + ``CHARS``
     counters at most, whatever the corpus; partial counts are added per task before the shuffle."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, chars = np.zeros(2 * SLOTS, np.int64), np.zeros(CHARS, np.int64)
         for b in batches:
             tokens: Counter[str] = Counter()
-            for t in b.column(0).to_pylist():
-                if t and not t.isascii():
-                    tokens.update(_TOKEN.findall(t))
+            for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                weight = max(1, round(n**0.75))
+                for token in _TOKEN.findall(t):
+                    tokens[token] += weight
             two: Counter[str] = Counter()
             for token, n in tokens.items():
                 u = _units(token)
@@ -275,7 +282,7 @@ def character_model(df: DataFrame, text: str) -> CharacterModel:
             {"slot": np.r_[at, -1 - ac].astype(np.int64), "n": np.r_[pairs[at], chars[ac]].astype(np.int64)}
         )
 
-    rows = df.select(F.col(f"`{text}`")).mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    rows = variants.select("s", "n").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     table = rows.toArrow()
     slot, n = table["slot"].to_numpy(), table["n"].to_numpy()
     pairs, chars = np.zeros(2 * SLOTS, np.int64), np.zeros(CHARS, np.int64)
@@ -293,13 +300,14 @@ _LETTER = regex.compile(r"\p{L}")
 class Cutoffs:
     """Gains in nats from which a transformation is taken.
 
-    ``multi``: a token whose bytes form UTF-8 sequences. ``single``: a token between single-byte
+    ``multi``: a token whose bytes form UTF-8 sequences; ``byte`` is added for each byte that does. ``single``: a token between single-byte
     encodings, to be restored at all. A document is a case by single-byte tokens if ``several`` different
     ones gain ``together`` in sum, or one alone gains ``alone`` (or ``single`` where it holds a control
     character next to letters).
     """
 
     multi: float = 2.5
+    byte: float = 2.0
     single: float = 3.0
     several: int = 2
     together: float = 8.0
@@ -344,8 +352,10 @@ class Repairer:
         cost = lambda t: self.model.surprise(t) + 6.0 * len(_CONTROL.findall(t))
         now, total, multi = token, 0.0, False
         if reached:
-            new, least = min(((t, cost(t)) for t in reached), key=lambda x: (x[1], x[0]))
-            gain = cost(token) - least
+            before = cost(token)
+            # A UTF-8 reading also has its sequences in its favour: each character fewer is a byte that fitted.
+            gains = {t: before - cost(t) + (self.cut.byte * (len(token) - len(t)) if multi_ else 0.0) for t, multi_ in reached.items()}
+            new, gain = max(gains.items(), key=lambda x: (x[1], x[0]))
             if gain >= (self.cut.multi if reached[new] else self.cut.single):
                 now, total, multi = new, gain, reached[new]
         if len(token) <= LONGEST_KEPT:
@@ -410,12 +420,16 @@ def garbled_texts(df: DataFrame, key: str, text: str, cut: Cutoffs = Cutoffs(),
     Method: ``learn_transformations`` joins near-twins on text without its non-ASCII characters, aligns
     them and infers the encodings; these mappings are then applied to all records.
 
-    Scale: three passes over the column; the last has no shuffle. The model has a fixed number of
+    Scale: two passes over the column. The first counts distinct sentences, which the two learning steps share; they are kept only until both
+    are done, and a lost part is computed again. The second pass has no shuffle. The model has a fixed number of
     counters and the transformations are a subset of the catalogue, so what tasks receive does not grow.
     """
     spark = df.sparkSession
-    transformations = learn_transformations(df, text, least)
-    learned = spark.sparkContext.broadcast((transformations, character_model(df, text)))
+    variants = sentences(df, text).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        learned = spark.sparkContext.broadcast((learn_transformations(variants, least), character_model(variants)))
+    finally:
+        variants.unpersist()
     query = uuid.uuid4().hex
 
     def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
