@@ -38,6 +38,55 @@ def test_variants_of_a_leak(spark):
     assert leaks(spark, docs, [(100, text), (101, " ".join(other)), (102, None), (103, "")]) == {(k, 100) for k in range(1, 13)}
 
 
+def spread(words, runs):
+    """A foreign word after every run of words, the runs' lengths in turn."""
+    out, at, k = [], 0, 0
+    while at < len(words):
+        out += [*words[at : at + runs[k % len(runs)]], f"foreign{k}"]
+        at, k = at + runs[k % len(runs)], k + 1
+    return out
+
+
+def test_foreign_words_between_few_words(spark):
+    rnd = random.Random(15)
+    item = [f"i{k}" for k in range(100)]
+    around = lambda t: " ".join([*sentence(rnd, 60), *t, *sentence(rnd, 60)])
+    docs = [
+        (1, around(spread(item, [2]))), (2, around(spread(item, [1]))), (3, around(spread(item[30:71], [3, 2]))), (4, around(spread(item[30:71], [2]))),
+        (5, around(spread(item[30:71], [1]))), (20, around(spread(item[30:65], [3, 2]))), (21, around(spread(item[::-1], [1]))),
+    ]
+    assert leaks(spark, docs, [(1, " ".join(item))]) == {(k, 1) for k in range(1, 6)}
+
+
+def test_short_items(spark):
+    docs = [(1, "u v"), (2, "u x v"), (3, "u x"), (4, "v u"), (5, "p q x r s"), (6, "p q x")]
+    assert leaks(spark, docs, [(1, "u v"), (2, "p q r s t u")]) == {(1, 1), (2, 1), (5, 2)}
+
+
+def test_candidates_hold_every_stretch():
+    rnd, rule = random.Random(16), L.Rule()
+    pairs = 0
+    for _ in range(60):
+        items = [(k, " ".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(1, 25)))) for k in range(4)]
+        index = L.ItemIndex(items)
+        docs = [np.array([index.vocabulary.get(rnd.choice("abcdefghijxyz"), 0) for _ in range(rnd.randrange(0, 40))], np.int32) for _ in range(5)]
+        start = np.concatenate([[0], np.cumsum([len(c) + 1 for c in docs])])
+        codes = np.concatenate([x for c in docs for x in (c, [0])]).astype(np.int32)
+        got = set(L.candidates(codes, start, index, rule))
+        for d, c in enumerate(docs):
+            for i, item in enumerate(index.codes):
+                span, _ = L.longest_stretch(item, c, rule)
+                if span >= rule.share * len(item):
+                    pairs += 1
+                    assert (d, i) in got
+    assert pairs > 50
+
+
+def test_place_of_short_matches():
+    assert L.longest_run(np.array([1, 2, 3, 4]), np.array([3, 0, 2, 3, 1]), 2) == (2, 2)
+    assert L.longest_run(np.array([1, 2, 3, 4]), np.array([0, 4, 3, 2, 1]), 2) == (1, 1)
+
+
 def test_items_in_blocks_and_small_shards(spark, monkeypatch):
     rnd = random.Random(9)
     items = [(k, " ".join(sentence(rnd, 50))) for k in range(12)]

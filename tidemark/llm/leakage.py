@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 WORDS_AT_ONCE = 1_500_000
 #: Bytes of item text beyond which the items are searched in several blocks, each with its own pass.
 ITEM_BLOCK_BYTES = 8_000_000
+#: Cells of the table of texts by item words that is looked at at once.
+PRESENCE_CELLS = 16_000_000
 
 _ASCII_WORD = regex.compile(r"[a-z0-9]+")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -43,19 +45,16 @@ def words_of(text: str | None) -> list[str]:
 class Rule:
     """What counts as a leak. The stretch spans ``share`` of an item's words, in order; at most ``item_gap - 1`` words
     of it in a row are replaced or lost and at most ``text_gap - 1`` foreign words stand in between; ``dense``: the least part
-    of the stretch that is matched, ``matched``: the same as a part of the item. ``seed``: words of the shortest verbatim match that is looked at. A text and an item are
-    aligned if such matches cover ``seeded`` of the item's words, or ``thin`` with one of ``long`` words among them. With one word in
-    four replaced, all a stretch may lose, runs of three still cover 0.75 * ``share``."""
+    of the stretch that is matched, ``matched``: the same as a part of the item. ``few``: that many shared words
+    are no stretch yet, unless they are the whole item. ``seed``: words of the shortest verbatim match that is looked up for the place."""
 
     share: float = 0.39
     item_gap: int = 4
     text_gap: int = 80
     dense: float = 0.75
     matched: float = 0.36
+    few: int = 2
     seed: int = 3
-    seeded: float = 0.25
-    thin: float = 0.15
-    long: int = 5
 
 
 class ItemIndex:
@@ -77,6 +76,7 @@ class ItemIndex:
         self.flat = np.concatenate([x for c in self.codes for x in (c, [0])]).astype(np.int32) if self.codes else np.zeros(1, np.int32)
         self.item_of = np.repeat(np.arange(len(sizes)), sizes)
         self.offset = np.concatenate([np.arange(n) for n in sizes]) if len(sizes) else np.zeros(0, np.int64)
+        self.first, self.sizes = first, sizes
         self.place = first[self.item_of] + self.offset
         self.remain = sizes[self.item_of] - self.offset
 
@@ -191,6 +191,47 @@ def longest_stretch(item: np.ndarray, text: np.ndarray, rule: Rule) -> tuple[int
     return best
 
 
+def candidates(codes: np.ndarray, start: np.ndarray, index: ItemIndex, rule: Rule) -> Iterator[tuple[int, int]]:
+    """All pairs (text, item) that can hold a stretch of ``rule``, and few others.
+
+    A stretch spans at least ``share`` of the item's words and at least ``dense`` of those it spans are matched, each
+    by the same word of the text, in whatever places. So a run of that many item words exists of which that part is in the text at all.
+    Whether one exists is told by the running sum of (word is in the text) - ``dense``: it doesn't fall over the run.
+    """
+    at = np.flatnonzero(codes)  # every place of an item's word is a seed of one word
+    doc = np.searchsorted(start, at, "right") - 1
+    docs = len(start) - 1
+    least = np.maximum(1, np.ceil(rule.share * index.sizes - 1e-9)).astype(np.int64)
+    need = np.ceil(rule.dense * least - 1e-9)
+    step = max(1, PRESENCE_CELLS // max(len(index.flat), len(index.vocabulary) + 1))
+    for low in range(0, docs, step):
+        rows = min(step, docs - low)
+        mine = slice(*np.searchsorted(doc, [low, low + rows]))
+        has = np.zeros((rows, len(index.vocabulary) + 1), bool)
+        has[doc[mine] - low, codes[at[mine]]] = True
+        present = has[:, index.flat]
+        count = np.add.reduceat(present, index.first, axis=1, dtype=np.int32)
+        for i in np.flatnonzero((count >= need).any(axis=0)):
+            some = np.flatnonzero(count[:, i] >= need[i])
+            run = np.zeros((len(some), index.sizes[i] + 1))
+            np.cumsum(present[some, index.first[i] : index.first[i] + index.sizes[i]] - rule.dense, axis=1, out=run[:, 1:])
+            lowest = np.minimum.accumulate(run[:, : -least[i]], axis=1)
+            for k in some[(run[:, least[i] :] >= lowest - 1e-6).any(axis=1)]:
+                yield low + int(k), int(i)
+
+
+def longest_run(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
+    """(length, first place in the text) of the longest verbatim match, of ``most`` words at most."""
+    best, place = 0, -1
+    for n in range(1, most + 1):
+        runs = {tuple(item[k : k + n].tolist()) for k in range(len(item) - n + 1)}
+        hit = next((k for k in range(len(text) - n + 1) if tuple(text[k : k + n].tolist()) in runs), None)
+        if hit is None:
+            break
+        best, place = n, hit
+    return best, place
+
+
 def shard_leaks(
     docs: list[tuple[object, np.ndarray]], index: ItemIndex, rule: Rule
 ) -> Iterator[tuple[object, int, int, int, int, float]]:
@@ -203,40 +244,28 @@ def shard_leaks(
     for k, (_, c) in enumerate(docs):
         codes[start[k] : start[k] + len(c)] = c
     which, at, length = verbatim_matches(codes, index, rule.seed)
-    if not len(which):
-        return
     doc = np.searchsorted(start, at, "right") - 1
-    item = index.item_of[which]
-    pair = doc * len(index.ids) + item
+    pair = doc * len(index.ids) + index.item_of[which]
     order = np.lexsort((index.offset[which], pair))
     pair, length, at = pair[order], length[order], at[order]
-    offset = index.offset[which][order]
-    # Item words under the matches, each word once.
-    new = np.r_[True, pair[1:] != pair[:-1]]
-    group = np.cumsum(new) - 1
-    end = offset + length
-    base = group * (index.longest + 1)
-    reach = np.maximum.accumulate(base + end)
-    before = np.r_[0, reach[:-1]]
-    gained = np.maximum(0, base + end - np.maximum(base + offset, np.where(new, 0, before)))
-    covered = np.bincount(group, gained)
-    n_words = np.array([len(c) for c in index.codes])
-    first = np.flatnonzero(new)
-    longest = np.maximum.reduceat(length, first)
-    doc_of, item_of = np.divmod(pair[first], len(index.ids))
-    enough = n_words[item_of]
-    hopeful = (covered >= rule.seeded * enough) | ((covered >= rule.thin * enough) & (longest >= rule.long))
-    for g in np.flatnonzero(hopeful):
-        d, i = int(doc_of[g]), int(item_of[g])
-        members = slice(first[g], first[g + 1] if g + 1 < len(first) else None)
-        # Words beyond two gaps from every match can't belong to its stretch.
-        begin = max(0, int(at[members].min() - start[d]) - 2 * rule.text_gap)
-        stop = int((at[members] + length[members]).max() - start[d]) + 2 * rule.text_gap
-        span, matched = longest_stretch(index.codes[i], docs[d][1][begin:stop], rule)
-        share = span / n_words[i]
-        if share >= rule.share and matched >= rule.matched * n_words[i]:
-            top = first[g] + int(np.argmax(length[members]))
-            yield docs[d][0], index.ids[i], int(length[top]), int(at[top] - start[d]), matched, float(share)
+    for d, i in candidates(codes, start, index, rule):
+        item, text = index.codes[i], docs[d][1]
+        members = slice(*np.searchsorted(pair, [d * len(index.ids) + i, d * len(index.ids) + i + 1]))
+        seeds = members.stop > members.start
+        begin, stop = 0, len(text)
+        if seeds:
+            # Words beyond two gaps from every match can't belong to its stretch.
+            begin = max(0, int(at[members].min() - start[d]) - 2 * rule.text_gap)
+            stop = int((at[members] + length[members]).max() - start[d]) + 2 * rule.text_gap
+        span, matched = longest_stretch(item, text[begin:stop], rule)
+        share = span / len(item)
+        if share >= rule.share and matched >= rule.matched * len(item) and matched > min(rule.few, len(item) - 1):
+            if seeds:
+                top = members.start + int(np.argmax(length[members]))
+                longest, place = int(length[top]), int(at[top] - start[d])
+            else:
+                longest, place = longest_run(item, text, rule.seed - 1)
+            yield docs[d][0], index.ids[i], longest, place, matched, float(share)
 
 
 def leaked_items(
@@ -259,9 +288,9 @@ def leaked_items(
     - Words are compared as ``words_of`` gives them; ``rule`` says what a stretch is.
     - Texts are searched whole, however long.
 
-    Method: each task holds a shard of texts as one sequence of word codes and builds its suffix array.
-    Every suffix of every item is found in it by binary search, which gives all longest verbatim matches and their places. A text
-    and an item whose matches cover enough of the item are then aligned exactly on the whole text.
+    Method: each task holds a shard of texts as one sequence of word codes. A text and an item whose words can make a stretch
+    (``candidates``: necessary by ``rule``) are aligned exactly. The shard's suffix array is searched for every suffix of every
+    item, which gives all longest verbatim matches and their places.
 
     Scale: the corpus is read once and not shuffled; a shard has a bounded number of words. The items, a stated query set,
     are sent to the tasks in blocks of ``ITEM_BLOCK_BYTES``; more items mean more passes, not larger tasks.
@@ -298,7 +327,7 @@ def leaked_items(
                 for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     words = words_of(t)
                     codes = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
-                    if np.count_nonzero(codes) < rule.seed:
+                    if not codes.any():
                         continue
                     held.append((k, codes))
                     count += len(codes)
