@@ -58,6 +58,32 @@ def test_foreign_words_between_few_words(spark):
     assert leaks(spark, docs, [(1, " ".join(item))]) == {(k, 1) for k in range(1, 6)}
 
 
+def test_stretches_with_replaced_words():
+    rnd = random.Random(17)
+    stock = ["the", "of", "a", "in"]
+    item = [rnd.choice(stock) if k % 3 == 1 else f"i{k}" for k in range(100)]
+    index = L.ItemIndex([(1, " ".join(item))])
+    host = lambda: [rnd.choice(stock) if rnd.random() < 0.2 else f"h{rnd.randrange(500)}" for _ in range(60)]
+    code = lambda words: np.array([index.vocabulary.get(w, 0) for w in words], np.int32)
+    docs = {}
+    for size in range(40, 48):
+        for every in (4, 5):
+            for at in range(every):
+                begin = rnd.randrange(100 - size)
+                stretch = [f"z{k}" if k % every == at else item[begin + k] for k in range(size)]
+                docs[size, every, at] = code([*host(), *stretch, *host()])
+    docs["few"] = code([*host(), *item[30:55], *host()])
+    got = {d[0] for d in L.shard_leaks(list(docs.items()), index, L.Rule())}
+    assert got == set(docs) - {"few"}
+
+
+def test_chance_matches_do_not_hide_a_stretch():
+    item = np.arange(1, 101)
+    text = [1, 0, 0, 0, 5, 0, 0, 0, 9, 0, 0, 0, *[0 if k % 4 == 1 else k for k in range(12, 54)]]
+    span, matched = L.longest_stretch(item, np.array(text), L.Rule())
+    assert span >= 40 and matched >= 0.75 * span
+
+
 def test_short_items(spark):
     docs = [(1, "u v"), (2, "u x v"), (3, "u x"), (4, "v u"), (5, "p q x r s"), (6, "p q x")]
     assert leaks(spark, docs, [(1, "u v"), (2, "p q r s t u")]) == {(1, 1), (2, 1), (5, 2)}

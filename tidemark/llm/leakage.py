@@ -45,14 +45,13 @@ def words_of(text: str | None) -> list[str]:
 class Rule:
     """What counts as a leak. The stretch spans ``share`` of an item's words, in order; at most ``item_gap - 1`` words
     of it in a row are replaced or lost and at most ``text_gap - 1`` foreign words stand in between; ``dense``: the least part
-    of the stretch that is matched, ``matched``: the same as a part of the item. ``few``: that many shared words
+    of the stretch that is matched, one word in four replaced being all it may lose. ``few``: that many shared words
     are no stretch yet, unless they are the whole item. ``seed``: words of the shortest verbatim match that is looked up for the place."""
 
     share: float = 0.39
     item_gap: int = 4
     text_gap: int = 80
     dense: float = 0.75
-    matched: float = 0.36
     few: int = 2
     seed: int = 3
 
@@ -163,28 +162,55 @@ def verbatim_matches(codes: np.ndarray, index: ItemIndex, least: int) -> tuple[n
 
 
 def longest_stretch(item: np.ndarray, text: np.ndarray, rule: Rule) -> tuple[int, int]:
-    """(span, matched) of the best in-order stretch of ``item`` in ``text``: the most matched words in a chain whose
-    neighbours are at most ``item_gap`` apart in the item and ``text_gap`` in the text."""
+    """(span, matched) of the best in-order stretch of ``item`` in ``text``, (0, 0) if there is none: the most matched words in a chain
+    whose neighbours are at most ``item_gap`` apart in the item and ``text_gap`` in the text, which spans ``share`` of the item and
+    is ``dense``.
+
+    Of the chains that end at a pair of places those are kept that no other one beats both in span and in surplus, matched - dense * span;
+    so chance matches in front of a stretch don't hide it. A chain that can't become long or dense any more is dropped.
+    Where words are both lost and foreign ones put in, the text may be another one that shares ``few`` words by chance: a stretch
+    doesn't begin or end with no more than that beyond such a break. Inside it they count.
+    """
     places: dict[int, list[int]] = defaultdict(list)
     wanted = set(item.tolist())
     for j, w in enumerate(text.tolist()):
         if w in wanted:
             places[w].append(j)
+    n, dense, full = len(item), rule.dense, rule.few + 1
+    least = max(1, int(np.ceil(rule.share * n - 1e-9)))
     best = (0, 0)
-    recent: list[tuple[list[int], list[tuple[int, int]]]] = []  # of the last item words: text positions, (matched, first item word)
+    recent: list[tuple[list[int], list[list[tuple[int, int]]]]] = []  # of the last item words: text positions, chains as (kind, first item word, matched)
     for i, w in enumerate(item.tolist()):
         here = []
+        hope = dense * (i + 1) - (1 - dense) * (n - 1 - i) - 1e-9  # the least matched + dense * first that can still become dense
         for j in places.get(w, ()):
-            matched, first = 1, i
-            for positions, chains in recent:
+            # Kinds: words since the break, negative; without a break, words so far; full with more than few.
+            most = {(min(1, full), i): 1} if i <= n - least else {}
+            for back, (positions, chains) in enumerate(reversed(recent), 1):
                 for x in range(bisect_left(positions, j - rule.text_gap), bisect_left(positions, j)):
-                    pm, pf = chains[x]
-                    if pm + 1 > matched or (pm + 1 == matched and pf < first):
-                        matched, first = pm + 1, pf
-            here.append((matched, first))
-            span = i - first + 1
-            if matched >= rule.dense * span and matched > best[1]:
-                best = (span, matched)
+                    broken = back > 1 and j - positions[x] > back
+                    for kind, first, matched in chains[x]:
+                        if broken:
+                            if 0 < kind < full:
+                                continue
+                            kind = -1 if full > 1 else full
+                        else:
+                            kind = min(kind + 1, full) if kind > 0 else kind - 1 if 1 - kind < full else full
+                        if matched >= most.get((kind, first), 0):
+                            most[kind, first] = matched + 1
+            kept, top, last = [], hope, None
+            for kind, first in sorted(most):
+                matched = most[kind, first]
+                if kind != last:
+                    top, last = hope, kind
+                if matched + dense * first < top:
+                    continue
+                top = matched + dense * first + 1e-9
+                kept.append((kind, first, matched))
+                span = i - first + 1
+                if kind > 0 and span >= least and matched >= dense * span - 1e-9 and (matched, span) > best[::-1]:
+                    best = (span, matched)
+            here.append(kept)
         recent.append((places.get(w, []), here))
         if len(recent) > rule.item_gap:
             recent.pop(0)
@@ -259,7 +285,7 @@ def shard_leaks(
             stop = int((at[members] + length[members]).max() - start[d]) + 2 * rule.text_gap
         span, matched = longest_stretch(item, text[begin:stop], rule)
         share = span / len(item)
-        if share >= rule.share and matched >= rule.matched * len(item) and matched > min(rule.few, len(item) - 1):
+        if matched > min(rule.few, len(item) - 1):
             if seeds:
                 top = members.start + int(np.argmax(length[members]))
                 longest, place = int(length[top]), int(at[top] - start[d])
