@@ -53,6 +53,27 @@ def test_planted_cases(spark):
     assert got["A", 100] == {"limit"} and got["A", 130] == {"contradiction"} and got["A", 152] == {"stuck_close"}
 
 
+def test_spikes_of_two_to_four_days(spark):
+    rows, want = [], {}
+    for size in (2, 3, 4):
+        for factor in (100, 0.01):
+            a = [np.array(c) for c in series(20 + size)]
+            for c in a[:4]:
+                c[60 : 60 + size] *= factor
+                c[63 + size : 63 + 2 * size] *= factor  # another one soon after
+            a[4][120 : 120 + size] *= 300
+            a[4][150 : 150 + size] /= 300
+            a[4][180:184] *= 5  # busy days
+            for c in a[:4]:
+                c[200:] *= 0.2  # lasting, and so is the next one
+                c[205:] *= 3
+            name = f"{size}x{factor}"
+            rows += rows_of(name, [list(c) for c in a])
+            want |= {(name, k): {"price_spike"} for b in (60, 63 + size) for k in range(b, b + size)}
+            want |= {(name, k): {"volume_spike"} for b in (120, 150) for k in range(b, b + size)}
+    assert flagged(spark, rows) == want
+
+
 def test_lasting_changes_and_gaps_are_no_cases(spark):
     a = [np.array(c) for c in series(2)]
     for k in range(4):

@@ -18,13 +18,15 @@ REASONS = ("limit", "contradiction", "price_spike", "range_spike", "volume_spike
 
 @dataclass(frozen=True)
 class Limits:
-    """Cutoffs in robust standard deviations of the source's own residuals, and run lengths."""
+    """Cutoffs in robust standard deviations of the source's own residuals, and run lengths: of stuck readings at
+    the least, of a change that passes at the most."""
 
     price: float = 6.5
     volume: float = 4.0
     wick: float = 7.0
     volume_log10: float = 1.35
     run: int = 5
+    passing: int = 4
     least_rows: int = 8
     rounds: int = 50
 
@@ -77,6 +79,31 @@ def _phi(r: np.ndarray, before: np.ndarray, scale: np.ndarray, seg: np.ndarray,
     return phi
 
 
+def passing_changes(v: np.ndarray, seg: np.ndarray, unit: np.ndarray, cut: float, most: int) -> np.ndarray:
+    """Rows of runs of 2 to ``most`` between two opposite level shifts: every row departs from the row before the run and
+    from the row after it by ``cut`` scales in the same direction, these two differ by less than half of that, and they
+    are nearer to the median of the ten rows on either side than the run is. The shortest run counts."""
+    out = np.zeros(len(v), bool)
+    if len(v) < 4:
+        return out
+    usual = _median(np.vstack([_neighbour(v, seg, k) for k in range(-10, 11) if k]))
+    for size in range(2, most + 1):
+        before, after = _neighbour(v, seg, -1), _neighbour(v, seg, size)
+        inside = np.vstack([_neighbour(v, seg, k) if k else v for k in range(size)])
+        with np.errstate(invalid="ignore"):
+            up = np.minimum(inside - before, inside - after).min(axis=0)
+            down = np.minimum(before - inside, after - inside).min(axis=0)
+            least = np.maximum(up, down)
+            back = np.abs(after - before) < least / 2
+            outer = np.maximum(np.abs(before - usual), np.abs(after - usual))
+            hit = (least >= cut * unit) & back & (outer < np.abs(inside - usual).min(axis=0))
+        for k in range(size):
+            out[np.flatnonzero(hit) + k] = True
+        if out.any():
+            break
+    return out
+
+
 def additive_outliers(x: np.ndarray, seg: np.ndarray, n: int, cut: float, lim: Limits) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a level series that are additive outliers, and the scale of its innovations by segment.
 
@@ -85,7 +112,8 @@ def additive_outliers(x: np.ndarray, seg: np.ndarray, n: int, cut: float, lim: L
     estimated from the residuals. A row is an outlier if it departs from both neighbours by
     ``cut`` scales in the same direction and the additive model explains more than the shift. In every
     round the strongest row of its neighbourhood is taken out and the rows around it meet their new
-    neighbours; rounds end when none is left. A first or last row has no second
+    neighbours. When none is left, short runs that leave the level and come back are taken out
+    (``passing_changes``) and the rounds go on. They end when neither is left. A first or last row has no second
     neighbour and is never taken for an additive outlier.
     """
     out = np.zeros(len(x), bool)
@@ -108,11 +136,14 @@ def additive_outliers(x: np.ndarray, seg: np.ndarray, n: int, cut: float, lim: L
         both = np.where(np.sign(before) == np.sign(after), np.minimum(np.abs(before), np.abs(after)), 0) / unit
         with np.errstate(invalid="ignore"):
             hit = (both >= cut) & (additive > shift)
-        if not hit.any():
-            break
-        strength = np.where(hit, both, 0)
-        for k in (-2, -1, 1, 2):
-            hit &= strength >= np.nan_to_num(_neighbour(strength, s, k))
+        if hit.any():
+            strength = np.where(hit, both, 0)
+            for k in (-2, -1, 1, 2):
+                hit &= strength >= np.nan_to_num(_neighbour(strength, s, k))
+        else:
+            hit = passing_changes(v, s, unit, cut, lim.passing)
+            if not hit.any():
+                break
         out[live[hit]] = True
         live = live[~hit]
     return out, scale
@@ -197,10 +228,10 @@ def implausible_readings(
     Semantics
     - ``limit``: a price that is NaN, infinite, zero or negative, or a negative volume.
     - ``contradiction``: high below, or low above, another price of the row.
-    - ``price_spike``: the close is an additive outlier of the source's robust autoregression; a
-      lasting change of level is a level shift and no case.
+    - ``price_spike``: the close is an additive outlier of the source's robust autoregression, or one of at most
+      ``limits.passing`` bars in a row that leave the level and come back; a lasting change of level is a level shift and no case.
     - ``range_spike``: high or low lies outside the row's body by ``limits.wick`` of the source's scales.
-    - ``volume_spike``: the volume's logarithm is an additive outlier of its robust autoregression and a factor of
+    - ``volume_spike``: the volume's logarithm is such an outlier or run of its robust autoregression and a factor of
       ``10 ** volume_log10`` away from its neighbours' median; a first or last volume, also from the source's own.
     - ``stuck_*``: an unchanged close or volume in at least ``limits.run`` consecutive bars, the first aside.
     - Null prices and null or zero volume are no reading; rows with any null price take no
