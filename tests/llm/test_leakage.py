@@ -77,6 +77,13 @@ def test_stretches_with_replaced_words():
     assert got == set(docs) - {"few"}
 
 
+def test_stretch_far_from_its_verbatim_matches():
+    index = L.ItemIndex([(1, " ".join(f"i{k}" for k in range(100)))])
+    text = [*range(1, 26), *[x for k in range(26, 42) for x in (*[0] * 20, k)], *[0] * 400]
+    (found,) = L.shard_leaks([(7, np.array([0] * 400 + text, np.int32))], index, L.Rule())
+    assert found == (7, 1, 25, 400, 41, 0.41)
+
+
 def test_chance_matches_do_not_hide_a_stretch():
     item = np.arange(1, 101)
     text = [1, 0, 0, 0, 5, 0, 0, 0, 9, 0, 0, 0, *[0 if k % 4 == 1 else k for k in range(12, 54)]]

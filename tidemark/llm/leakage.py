@@ -277,16 +277,11 @@ def shard_leaks(
     for d, i in candidates(codes, start, index, rule):
         item, text = index.codes[i], docs[d][1]
         members = slice(*np.searchsorted(pair, [d * len(index.ids) + i, d * len(index.ids) + i + 1]))
-        seeds = members.stop > members.start
-        begin, stop = 0, len(text)
-        if seeds:
-            # Words beyond two gaps from every match can't belong to its stretch.
-            begin = max(0, int(at[members].min() - start[d]) - 2 * rule.text_gap)
-            stop = int((at[members] + length[members]).max() - start[d]) + 2 * rule.text_gap
-        span, matched = longest_stretch(item, text[begin:stop], rule)
+        # The whole text: a chain may go on from gap to gap, however far from its verbatim matches.
+        span, matched = longest_stretch(item, text, rule)
         share = span / len(item)
         if matched > min(rule.few, len(item) - 1):
-            if seeds:
+            if members.stop > members.start:
                 top = members.start + int(np.argmax(length[members]))
                 longest, place = int(length[top]), int(at[top] - start[d])
             else:
