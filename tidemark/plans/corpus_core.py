@@ -109,29 +109,47 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return d.select(day_string(F.col("snapshot_date")).alias("snapshot_day"), "symbol", "change")
 
 
-def p5_attributes(spark: SparkSession, root: str) -> DataFrame:
-    """Each (run, symbol) with its filing and membership row as known on ``as_of``."""
-    v = (
+def _p5_pairs(spark: SparkSession, root: str) -> DataFrame:
+    return (
         table(spark, root, "verdicts", ["run_id", "symbol", "as_of"])
         .groupBy("run_id", "symbol")
         .agg(F.max("as_of").alias("as_of"))
     )
-    f = (
-        table(spark, root, "fundamentals", ["accession_no", "symbol", "fiscal_period_end", "filed_at"])
-        .distinct()
-        .withColumn("filed_day", F.to_date("filed_at"))
+
+
+def p5_attributes(spark: SparkSession, root: str) -> DataFrame:
+    """Each (run, symbol) with its filing and membership row as known on ``as_of``."""
+    v = _p5_pairs(spark, root)
+    f = table(spark, root, "fundamentals", ["accession_no", "symbol", "fiscal_period_end", "filed_at"]).withColumn(
+        "filed_day", F.to_date("filed_at")
     )
     u = table(spark, root, "universe_membership", ["snapshot_date", "symbol", "gics_sector"]).withColumn(
         "gics_sector", spelling_key(F.col("gics_sector"))
     )
+    asked = table(spark, root, "verdicts", ["symbol", "as_of"])
     with_filing = asof.known_as_of(
         v, f, ["symbol"], "as_of", "filed_day",
         ["fiscal_period_end", "filed_at", "accession_no"],
         ["accession_no", "filed_at", "fiscal_period_end"],
+        asked_from=asked,
     )
     return asof.known_as_of(
-        with_filing, u, ["symbol"], "as_of", "snapshot_date", ["snapshot_date"], ["snapshot_date", "gics_sector"]
+        with_filing, u, ["symbol"], "as_of", "snapshot_date", ["snapshot_date"], ["snapshot_date", "gics_sector"], asked_from=asked
+    )
+
+
+def p5_figures(spark: SparkSession, root: str) -> DataFrame:
+    """Each (run, symbol) with the newest filing's revenue as it had been delivered by ``as_of``: a figure that was
+    corrected later comes out uncorrected."""
+    v = _p5_pairs(spark, root)
+    f = table(spark, root, "fundamentals", ["accession_no", "symbol", "fiscal_period_end", "filed_at", "fetched_at", "revenue"]).withColumn(
+        "fetched_day", F.to_date("fetched_at")
+    )
+    t = asof.known_as_of(
+        v, f, ["symbol"], "as_of", "fetched_day", ["fiscal_period_end", "filed_at", "accession_no"], ["fetched_at", "accession_no", "revenue"],
+        asked_from=table(spark, root, "verdicts", ["symbol", "as_of"]),
     )
+    return t.select("run_id", "symbol", "accession_no", day_string(F.to_date("fetched_at")).alias("fetched_day"), "revenue")
 
 
 def p5_asof(spark: SparkSession, root: str) -> DataFrame:
@@ -183,6 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_changes": p4_changes,
     "p5_found": p5_found,
     "p5_asof": p5_asof,
+    "p5_figures": p5_figures,
     "p6_found": p6_found,
     "p6_ranked": p6_ranked,
 }
@@ -250,6 +269,10 @@ WHERE date >= lo + 29 AND (v7 = 0 OR (v7 > 0 AND 10 * v7 >= 7 * v30))""",
     "p4_changes": f"WITH {_CHANGES} SELECT strftime(s, '%Y-%m-%d') AS snapshot_day, symbol, change, old_sector, new_sector FROM ch",
     "p5_found": f"WITH {_ASOF} SELECT run_id, symbol, coalesce(accession_no, '') AS accession_no, coalesce(strftime(snapshot_date, '%Y-%m-%d'), '') AS snapshot_day FROM a",
     "p5_asof": f"WITH {_ASOF} SELECT run_id, symbol, accession_no, strftime(filed_at, '%Y-%m-%d %H:%M:%S') AS filed_at, strftime(fiscal_period_end, '%Y-%m-%d') AS fiscal_period_end, strftime(snapshot_date, '%Y-%m-%d') AS snapshot_day, g AS sector FROM a",
+    "p5_figures": """WITH v AS (SELECT run_id, symbol, max(as_of) AS as_of FROM verdicts GROUP BY run_id, symbol)
+SELECT v.run_id, v.symbol, f.accession_no, strftime(f.fetched_at, '%Y-%m-%d') AS fetched_day, f.revenue
+FROM v LEFT JOIN fundamentals f ON f.symbol = v.symbol AND CAST(f.fetched_at AS DATE) <= v.as_of
+QUALIFY row_number() OVER (PARTITION BY v.run_id, v.symbol ORDER BY f.fiscal_period_end DESC NULLS LAST, f.filed_at DESC NULLS LAST, f.accession_no DESC NULLS LAST, f.fetched_at DESC NULLS LAST, f.revenue DESC NULLS LAST) = 1""",
     "p6_found": f"WITH {_BEST} SELECT strftime(run_date, '%Y-%m-%d') AS run_day, strategy_key, symbol, signal_name FROM r WHERE rank <= 5",
     "p6_ranked": f"WITH {_BEST} SELECT strftime(run_date, '%Y-%m-%d') AS run_day, strategy_key, symbol, signal_name, strength, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5",
 }

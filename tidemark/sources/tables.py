@@ -14,9 +14,7 @@ _PACKAGE = Path(__file__).resolve().parents[1]
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once per application. Days are UTC days, so the
-    session's time zone is set to it."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Give this package to the executors' Python workers, once per application. Every operator that runs Python does so."""
     sc = spark.sparkContext
     if getattr(sc, "_tidemark_shipped", False):
         return
@@ -27,7 +25,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, root: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Read ``<root>/<name>.parquet``. Only ``columns`` are read when given."""
+    """Read ``<root>/<name>.parquet``. Only ``columns`` are read when given. Days are UTC days, so the session's time
+    zone is set to it."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     ship(spark)
     df = spark.read.parquet(f"{root}/{name}.parquet")
     return df.select(*columns) if columns else df
