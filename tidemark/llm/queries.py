@@ -1,4 +1,4 @@
-"""Queries of the training-text problems 7 to 9, and their SQL twins where SQL can express them."""
+"""Queries of the training-text problems 6 to 9, and their SQL twins where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,13 +8,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import day_string
 from ..sources.tables import table
-from . import bpe, leakage, mojibake
+from . import bpe, leakage, mojibake, topn
 
 #: Folder of the public tokenizers' files on driver and executors.
 TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
 
 
+def p6_ranked(spark: SparkSession, root: str) -> DataFrame:
+    """The best five of every (run date, strategy) with their strength and rank."""
+    s = table(spark, root, "signals", ["run_date", "strategy_key", "symbol", "signal_name", "strength"])
+    best = topn.top_n_per_group(s, ["run_date", "strategy_key"], ["symbol", "signal_name"], "strength", 5)
+    return best.select(
+        day_string(F.col("run_date")).alias("run_day"), "strategy_key", "symbol", "signal_name", "strength", "rank"
+    )
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return p6_ranked(spark, root).select("run_day", "strategy_key", "symbol", "signal_name")
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents", ["doc_id", "text"])
     return bpe.encode_corpus(docs, "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -53,6 +67,8 @@ def p9_restored(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p6_found": p6_found,
+    "p6_ranked": p6_ranked,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_matches": p8_matches,
@@ -61,5 +77,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_restored": p9_restored,
 }
 
-#: None of the three can be said in SQL: they are tested against a reference encoder, brute force and round trips.
-SQL: dict[str, str] = {}
+_BEST = """i AS (
+ SELECT run_date, strategy_key, symbol, signal_name, max(strength) AS strength FROM signals
+ WHERE strength IS NOT NULL AND NOT isnan(strength) AND NOT isinf(strength) GROUP BY ALL
+), r AS (SELECT *, row_number() OVER (PARTITION BY run_date, strategy_key ORDER BY strength DESC, symbol, signal_name) AS rank FROM i)"""
+
+#: Problems 7 to 9 can't be said in SQL: they are tested against a reference encoder, brute force and round trips.
+SQL: dict[str, str] = {
+    "p6_found": f"WITH {_BEST} SELECT strftime(run_date, '%Y-%m-%d') AS run_day, strategy_key, symbol, signal_name FROM r WHERE rank <= 5",
+    "p6_ranked": f"WITH {_BEST} SELECT strftime(run_date, '%Y-%m-%d') AS run_day, strategy_key, symbol, signal_name, strength, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5",
+}
