@@ -1,4 +1,4 @@
-"""Queries of the data-preparation problems 1 to 6."""
+"""Queries of the data-preparation problems 1 to 5."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import day_string, spelling_key
-from ..operators import asof, dedupe, nested, rolling, snapshots, spikes, topn
+from ..operators import asof, dedupe, nested, rolling, snapshots, spikes
 from ..sources.tables import table
 
 LENGTHS = [7, 30]
@@ -175,21 +175,6 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    s = table(spark, root, "signals", ["run_date", "strategy_key", "symbol", "signal_name", "strength"])
-    best = topn.top_n_per_group(s, ["run_date", "strategy_key"], ["symbol", "signal_name"], "strength", 5)
-    return best.select(day_string(F.col("run_date")).alias("run_day"), "strategy_key", "symbol", "signal_name")
-
-
-def p6_ranked(spark: SparkSession, root: str) -> DataFrame:
-    """The best five with their strength and rank."""
-    s = table(spark, root, "signals", ["run_date", "strategy_key", "symbol", "signal_name", "strength"])
-    best = topn.top_n_per_group(s, ["run_date", "strategy_key"], ["symbol", "signal_name"], "strength", 5)
-    return best.select(
-        day_string(F.col("run_date")).alias("run_day"), "strategy_key", "symbol", "signal_name", "strength", "rank"
-    )
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_rolling": p1_rolling,
@@ -202,8 +187,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_asof": p5_asof,
     "p5_figures": p5_figures,
-    "p6_found": p6_found,
-    "p6_ranked": p6_ranked,
 }
 
 _BARS = "(SELECT symbol, date, volume, close FROM bars QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY fetched_at DESC) = 1)"
@@ -225,11 +208,6 @@ ch AS (
  FROM cur FULL JOIN old ON cur.s = old.s AND cur.symbol = old.symbol
  WHERE old.symbol IS NULL OR cur.symbol IS NULL OR cur.c IS DISTINCT FROM old.c OR cur.g IS DISTINCT FROM old.g)"""
 
-_BEST = """i AS (
- SELECT run_date, strategy_key, symbol, signal_name, max(strength) AS strength FROM signals
- WHERE strength IS NOT NULL AND NOT isnan(strength) AND NOT isinf(strength) GROUP BY ALL
-), r AS (SELECT *, row_number() OVER (PARTITION BY run_date, strategy_key ORDER BY strength DESC, symbol, signal_name) AS rank FROM i)"""
-
 _ASOF = f"""v AS (SELECT run_id, symbol, max(as_of) AS as_of FROM verdicts GROUP BY run_id, symbol),
 f AS (SELECT DISTINCT accession_no, symbol, fiscal_period_end, filed_at FROM fundamentals),
 u AS (SELECT snapshot_date, symbol, max({_SPELL.format('gics_sector')}) AS g FROM universe_membership GROUP BY snapshot_date, symbol),
@@ -273,6 +251,4 @@ WHERE date >= lo + 29 AND (v7 = 0 OR (v7 > 0 AND 10 * v7 >= 7 * v30))""",
 SELECT v.run_id, v.symbol, f.accession_no, strftime(f.fetched_at, '%Y-%m-%d') AS fetched_day, f.revenue
 FROM v LEFT JOIN fundamentals f ON f.symbol = v.symbol AND CAST(f.fetched_at AS DATE) <= v.as_of
 QUALIFY row_number() OVER (PARTITION BY v.run_id, v.symbol ORDER BY f.fiscal_period_end DESC NULLS LAST, f.filed_at DESC NULLS LAST, f.accession_no DESC NULLS LAST, f.fetched_at DESC NULLS LAST, f.revenue DESC NULLS LAST) = 1""",
-    "p6_found": f"WITH {_BEST} SELECT strftime(run_date, '%Y-%m-%d') AS run_day, strategy_key, symbol, signal_name FROM r WHERE rank <= 5",
-    "p6_ranked": f"WITH {_BEST} SELECT strftime(run_date, '%Y-%m-%d') AS run_day, strategy_key, symbol, signal_name, strength, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5",
 }
