@@ -73,14 +73,14 @@ def test_stretches_with_replaced_words():
                 stretch = [f"z{k}" if k % every == at else item[begin + k] for k in range(size)]
                 docs[size, every, at] = code([*host(), *stretch, *host()])
     docs["few"] = code([*host(), *item[30:55], *host()])
-    got = {d[0] for d in L.shard_leaks(list(docs.items()), index, L.Rule())}
+    got = {d[0] for d in L.shard_leaks(list(docs.items()), index)}
     assert got == set(docs) - {"few"}
 
 
 def test_stretch_far_from_its_verbatim_matches():
     index = L.ItemIndex([(1, " ".join(f"i{k}" for k in range(100)))])
     text = [*range(1, 26), *[x for k in range(26, 42) for x in (*[0] * 20, k)], *[0] * 400]
-    (found,) = L.shard_leaks([(7, np.array([0] * 400 + text, np.int32))], index, L.Rule())
+    (found,) = L.shard_leaks([(7, np.array([0] * 400 + text, np.int32))], index)
     assert found == (7, 1, 25, 400, 41, 0.41)
 
 
@@ -115,9 +115,23 @@ def test_candidates_hold_every_stretch():
     assert pairs > 50
 
 
-def test_place_of_short_matches():
-    assert L.longest_run(np.array([1, 2, 3, 4]), np.array([3, 0, 2, 3, 1]), 2) == (2, 2)
-    assert L.longest_run(np.array([1, 2, 3, 4]), np.array([0, 4, 3, 2, 1]), 2) == (1, 1)
+def test_every_second_or_third_word_replaced(spark):
+    rnd = random.Random(18)
+    item = [f"i{k}" for k in range(60)]
+    around = lambda t: " ".join([*sentence(rnd, 60), *t, *sentence(rnd, 60)])
+    broken = lambda m, n: [w if k % m else f"z{k}" for k, w in enumerate(item)][:n]
+    docs = [(1, around(broken(2, 60))), (2, around(broken(3, 60))), (3, around(broken(3, 46))), (20, around(broken(2, 40)))]
+    assert leaks(spark, docs, [(1, " ".join(item))]) == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_scripts_without_blanks(spark):
+    ja, zh, th = "東京都は日本の首都であり、世界最大の都市圏を形成している。", "长江是亚洲第一长河，全长六千余公里", "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"
+    docs = [
+        (1, "さて、ここで言うと" + ja[:-1] + "のです。終わり。"), (2, "また日本の首都であり世界最大の、なのです。"), (3, "有人说" + zh.replace("，", "") + "左右。"),
+        (4, "ว่า" + th + "ครับ"), (5, "GDPは" + "\n".join(ja)), (20, "大阪は日本の都市である。これは首都ではない。"), (21, "黄河是亚洲的河"), (22, "เมืองไทย"),
+    ]
+    assert leaks(spark, docs, [(1, ja), (2, zh), (3, th), (4, "水")]) == {(1, 1), (2, 1), (3, 2), (4, 3), (5, 1)}
+    assert L.words_of("AはB 東京、都 x") == ["a", "は", "b", "東京", "京都", "x"]
 
 
 def test_items_in_blocks_and_small_shards(spark, monkeypatch):
@@ -153,25 +167,25 @@ def test_suffix_array_and_search_against_brute_force():
         assert keys == sorted(keys)
 
 
-def test_all_verbatim_matches():
+def test_longest_verbatim_matches():
     rnd = random.Random(10)
     vocabulary = [f"v{k}" for k in range(6)]
-    items = [(k, " ".join(rnd.choice(vocabulary) for _ in range(15))) for k in range(4)]
-    index = L.ItemIndex(items)
+    index = L.ItemIndex([(k, " ".join(rnd.choice(vocabulary) for _ in range(15))) for k in range(4)])
     text = [rnd.choice([*vocabulary, "other"]) for _ in range(300)]
-    codes = np.array([index.vocabulary.get(w, 0) for w in text], np.int32)
-    which, at, length = L.verbatim_matches(codes, index, 3)
-    got = set(zip(index.item_of[which].tolist(), index.offset[which].tolist(), at.tolist(), length.tolist()))
-    want = set()
-    for i, c in enumerate(index.codes):
-        for o in range(len(c)):
-            for p in range(len(codes)):
-                n = 0
-                while o + n < len(c) and p + n < len(codes) and c[o + n] == codes[p + n]:
-                    n += 1
-                if n >= 3 and (o == 0 or p == 0 or c[o - 1] != codes[p - 1]):
-                    want.add((i, o, p, n))
-    assert got == want
+    codes = np.array([*[index.vocabulary.get(w, 0) for w in text], 0], np.int32)
+    sa = L.suffix_array(codes, 16)
+    query = np.flatnonzero(index.flat)
+    for low, high in ((0, len(sa)), (5, 90), (7, 7)):
+        length, place = L.verbatim_matches(codes, sa, index.flat, query, np.full(len(query), low), np.full(len(query), high))
+        for q, n, p in zip(query, length, place):
+            def common(at):
+                k = 0
+                while index.flat[q + k] and index.flat[q + k] == codes[at + k]:
+                    k += 1
+                return k
+
+            assert n == max((common(at) for at in sa[low:high]), default=0)
+            assert n == 0 or common(p) == n
 
 
 def test_very_long_texts_and_items(spark):
