@@ -97,19 +97,19 @@ def test_short_items(spark):
 
 
 def test_candidates_hold_every_stretch():
-    rnd, rule = random.Random(16), L.Rule()
+    rnd = random.Random(16)
     pairs = 0
-    for _ in range(60):
+    for rule in L.RULES * 40:
         items = [(k, " ".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(1, 25)))) for k in range(4)]
         index = L.ItemIndex(items)
         docs = [np.array([index.vocabulary.get(rnd.choice("abcdefghijxyz"), 0) for _ in range(rnd.randrange(0, 40))], np.int32) for _ in range(5)]
         start = np.concatenate([[0], np.cumsum([len(c) + 1 for c in docs])])
         codes = np.concatenate([x for c in docs for x in (c, [0])]).astype(np.int32)
-        got = set(L.candidates(codes, start, index, rule))
+        got = {(d, i) for d, i, _ in L.candidates(codes, start, index, (rule,))}
         for d, c in enumerate(docs):
             for i, item in enumerate(index.codes):
                 span, _ = L.longest_stretch(item, c, rule)
-                if span >= rule.share * len(item):
+                if span:
                     pairs += 1
                     assert (d, i) in got
     assert pairs > 50
@@ -134,6 +134,19 @@ def test_scripts_without_blanks(spark):
     assert L.words_of("AはB 東京、都 x") == ["a", "は", "b", "東京", "京都", "x"]
 
 
+def test_common_words():
+    rnd = random.Random(19)
+    for _ in range(200):
+        a, b = ([rnd.randrange(1, 7) for _ in range(rnd.randrange(0, 14))] for _ in range(2))
+        b = [x if rnd.random() < 0.8 else 0 for x in b]
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = last[j] + 1 if x == y else max(row[j], last[j + 1])
+        assert L.common_words(np.array(a, int), np.array(b, int)) == row[-1]
+
+
 def test_items_in_blocks_and_small_shards(spark, monkeypatch):
     rnd = random.Random(9)
     items = [(k, " ".join(sentence(rnd, 50))) for k in range(12)]

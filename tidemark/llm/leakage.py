@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from bisect import bisect_left
 from collections import defaultdict
@@ -77,6 +78,11 @@ class Rule:
     few: int = 2
     matched: float = 0.0
 
+    def least_words(self, size: int) -> int:
+        """Words of an item of ``size`` words that a stretch matches at the least."""
+        least = max(1, math.ceil(self.share * size - 1e-9))
+        return math.ceil(max(self.dense * least, self.matched * size) - 1e-9)
+
 
 #: A stretch of the least length may lose one word in four. Of a text that shares more of the item every second
 #: word may be replaced: 100,000 texts of the items' own domain share 0.41 of an item by chance at most.
@@ -228,8 +234,8 @@ def longest_stretch(item: np.ndarray, text: np.ndarray, rule: Rule) -> tuple[int
     return best
 
 
-def candidates(codes: np.ndarray, start: np.ndarray, index: ItemIndex, rule: Rule) -> Iterator[tuple[int, int]]:
-    """All pairs (text, item) that can hold a stretch of ``rule``, and few others.
+def candidates(codes: np.ndarray, start: np.ndarray, index: ItemIndex, rules: tuple[Rule, ...]) -> Iterator[tuple[int, int, Rule]]:
+    """All (text, item, rule) where the text can hold a stretch of the item by the rule, and few others.
 
     A stretch spans at least ``share`` of the item's words and at least ``dense`` of those it spans are matched, each
     by the same word of the text, in whatever places. So a run of that many item words exists of which that part is in the text at all.
@@ -238,8 +244,9 @@ def candidates(codes: np.ndarray, start: np.ndarray, index: ItemIndex, rule: Rul
     at = np.flatnonzero(codes)  # every place of an item's word is a seed of one word
     doc = np.searchsorted(start, at, "right") - 1
     docs = len(start) - 1
-    least = np.maximum(1, np.ceil(rule.share * index.sizes - 1e-9)).astype(np.int64)
-    need = np.ceil(np.maximum(rule.dense * least, rule.matched * index.sizes) - 1e-9)
+    least = [np.maximum(1, np.ceil(r.share * index.sizes - 1e-9)).astype(np.int64) for r in rules]
+    need = [np.array([r.least_words(int(n)) for n in index.sizes]) for r in rules]
+    fewest = np.min(need, axis=0)
     step = max(1, PRESENCE_CELLS // max(len(index.flat), len(index.vocabulary) + 1))
     for low in range(0, docs, step):
         rows = min(step, docs - low)
@@ -248,13 +255,30 @@ def candidates(codes: np.ndarray, start: np.ndarray, index: ItemIndex, rule: Rul
         has[doc[mine] - low, codes[at[mine]]] = True
         present = has[:, index.flat]
         count = np.add.reduceat(present, index.first, axis=1, dtype=np.int32)
-        for i in np.flatnonzero((count >= need).any(axis=0)):
-            some = np.flatnonzero(count[:, i] >= need[i])
-            run = np.zeros((len(some), index.sizes[i] + 1))
-            np.cumsum(present[some, index.first[i] : index.first[i] + index.sizes[i]] - rule.dense, axis=1, out=run[:, 1:])
-            lowest = np.minimum.accumulate(run[:, : -least[i]], axis=1)
-            for k in some[(run[:, least[i] :] >= lowest - 1e-6).any(axis=1)]:
-                yield low + int(k), int(i)
+        for i in np.flatnonzero((count >= fewest).any(axis=0)):
+            for rule, long_, words in zip(rules, least, need):
+                some = np.flatnonzero(count[:, i] >= words[i])
+                if not len(some):
+                    continue
+                run = np.zeros((len(some), index.sizes[i] + 1))
+                np.cumsum(present[some, index.first[i] : index.first[i] + index.sizes[i]] - rule.dense, axis=1, out=run[:, 1:])
+                lowest = np.minimum.accumulate(run[:, : -long_[i]], axis=1)
+                for k in some[(run[:, long_[i] :] >= lowest - 1e-6).any(axis=1)]:
+                    yield low + int(k), int(i), rule
+
+
+def common_words(item: np.ndarray, text: np.ndarray) -> int:
+    """Length of the longest common subsequence, by the bit-parallel recurrence: one addition per word of the text."""
+    mask: dict[int, int] = {}
+    for i, w in enumerate(item.tolist()):
+        mask[w] = mask.get(w, 0) | 1 << i
+    every = (1 << len(item)) - 1
+    row = every
+    for w in text[text > 0].tolist():
+        if m := mask.get(w):
+            u = row & m
+            row = ((row + u) | (row - u)) & every
+    return len(item) - row.bit_count()
 
 
 def shard_leaks(
@@ -269,12 +293,19 @@ def shard_leaks(
     for k, (_, c) in enumerate(docs):
         codes[start[k] : start[k] + len(c)] = c
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for rule in rules:
-        for d, i in candidates(codes, start, index, rule):
-            # The whole text: a chain may go on from gap to gap, however far from its verbatim matches.
-            span, matched = longest_stretch(index.codes[i], docs[d][1], rule)
-            if matched > min(rule.few, len(index.codes[i]) - 1):
-                best[d, i] = max(best.get((d, i), (0, 0)), (matched, span))
+    common: dict[tuple[int, int], int] = {}
+    for d, i, rule in candidates(codes, start, index, rules):
+        if (d, i) in best:  # by an earlier rule
+            continue
+        # A stretch is a common subsequence.
+        if (d, i) not in common:
+            common[d, i] = common_words(index.codes[i], docs[d][1])
+        if common[d, i] < rule.least_words(len(index.codes[i])):
+            continue
+        # The whole text: a chain may go on from gap to gap, however far from its verbatim matches.
+        span, matched = longest_stretch(index.codes[i], docs[d][1], rule)
+        if matched > min(rule.few, len(index.codes[i]) - 1):
+            best[d, i] = (matched, span)
     if not best:
         return
     sa = suffix_array(codes, index.longest)
