@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 from itertools import groupby
 
 import numpy as np
@@ -17,6 +19,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import ship
+
 #: The encodings among which an alignment is looked for, the commonest first.
 WRONG = (
     "cp1252", "latin-1", "mac_roman", "cp437", "cp850", "iso8859-15", "cp1250", "iso8859-2", "cp1251", "koi8-r",
@@ -33,9 +37,17 @@ CHARS = 1 << 16
 #: Tokens that a task remembers, and the longest that it does: a bound of its memory, never of what is looked at.
 TOKENS_KEPT, LONGEST_KEPT = 200_000, 200
 
-_TOKEN = regex.compile(r"[A-Za-z]*[^\x00-\x7f](?:[A-Za-z]|[^\x00-\x7f])*")
+_TOKEN = regex.compile(r"(?<![A-Za-z])[A-Za-z]*+[^\x00-\x7f](?:[A-Za-z]|[^\x00-\x7f])*+")
 _RUN = regex.compile(r"[^\x00-\x7f]+")
-_SENTENCE = r"(?<=[.?!。？！])\s+|[\r\n]+"
+#: Sentences end by ASCII alone, so that a text and its garbled twin fall into the same parts.
+_SENTENCE = r"(?<=[.?!])[ \t]+|[\r\n]+"
+_BEYOND = r"[^\x00-\x7f]+"
+_EAST = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
+#: A replacement character that stands for something lost: next to a letter, a digit or another one, or alone between blanks.
+_LOST = regex.compile("[\\p{L}\\p{N}\ufffd]\ufffd|\ufffd[\\p{L}\\p{N}]")
+_LONE = regex.compile("(?:^|\\s)\ufffd(?:\\s|$)")
+#: How texts name the replacement character.
+_NAMED = regex.compile(r"U\+FFFD|replacement character|&#xFFFD|&#65533|\\uFFFD", regex.IGNORECASE)
 
 
 @lru_cache(maxsize=None)
@@ -120,8 +132,8 @@ def _decode_table(codec: str) -> list[str]:
     return out
 
 
-def explain(garbled: str, clean: str) -> tuple[str, list[str]] | None:
-    """The right encoding, and the wrong ones, that turn every non-ASCII run of ``garbled`` into the aligned run of
+def explain(garbled: str, clean: str, rights: tuple[str, ...] = RIGHT) -> tuple[str, list[str]] | None:
+    """Fits the aligned runs. The right encoding, and the wrong ones, that turn every non-ASCII run of ``garbled`` into the aligned run of
     ``clean``; runs that are the same in both say nothing. Both texts agree outside of these runs.
 
     The first right encoding that fits is taken. Encodings share characters, so several wrong ones may fit.
@@ -130,7 +142,7 @@ def explain(garbled: str, clean: str) -> tuple[str, list[str]] | None:
     pairs = [(x, y) for x, y in zip(a, b) if x != y]
     if not pairs or len(a) != len(b):
         return None
-    for right in RIGHT:
+    for right in rights:
         fits = [w for w in WRONG if w != right and all(undo(x, w, right) == y for x, y in pairs)]
         if fits:
             return right, fits
@@ -142,7 +154,7 @@ def choose(seen: list[tuple[str, list[str], int]], least: int) -> list[tuple[str
 
     For each right encoding the wrong one that fits most alignments is taken, then the one that fits most of the rest, and so on
     while it fits ``least`` (one for UTF-8, where whole byte sequences must agree). UTF-8 is then combined with
-    every wrong encoding that fits any alignment: its sequences tell by themselves whether they are meant.
+    every other wrong encoding that fits one of its alignments: encodings share characters, and its sequences tell by themselves whether they are meant.
     """
     out: list[tuple[str, str]] = []
     for right in RIGHT:
@@ -154,10 +166,8 @@ def choose(seen: list[tuple[str, list[str], int]], least: int) -> list[tuple[str
                 break
             out.append((best, right))
             rest = [(ws, n) for ws, n in rest if best not in ws]
-    if seen:
-        fitting = {w for _, ws, _ in seen for w in ws}
-        out += [(w, "utf-8") for w in WRONG if w in fitting and (w, "utf-8") not in out]
-    return out
+    fitting = {w for right, ws, _ in seen if right == "utf-8" for w in ws}
+    return out + [(w, "utf-8") for w in WRONG if w in fitting and (w, "utf-8") not in out]
 
 
 def sentences(df: DataFrame, text: str) -> DataFrame:
@@ -169,38 +179,92 @@ def sentences(df: DataFrame, text: str) -> DataFrame:
     return parts.groupBy("s").agg(F.count("*").alias("n"))
 
 
+def _twins(keyed: DataFrame) -> DataFrame:
+    """Of rows (``k``, ``s``, ``n``), each ``s`` that shares a key with a commoner one, with the commonest (``rep``)."""
+    best = (
+        keyed.groupBy("k")
+        .agg(F.max(F.struct("n", F.col("s").alias("rep"))).alias("m"), F.count("*").alias("variants"))
+        .where("variants > 1")
+        .select("k", F.col("m.rep").alias("rep"))
+    )
+    return keyed.join(best, "k").where("s != rep").select("s", "rep")
+
+
+def _shape(units) -> bytes:
+    """Which units of a sequence are the same; ASCII stands for itself. The shape of a garbled text equals that of the
+    bytes, or characters, that it was garbled from."""
+    seen: dict[int, int] = {}
+    return array("I", [u if u < 128 else 128 + seen.setdefault(u, len(seen)) for u in units]).tobytes()
+
+
+def shape_keys(text: str) -> set[int]:
+    """Hashes of the shapes of a text's characters and of its bytes in UTF-8 and, for East Asian text, in the other encodings of several bytes."""
+    shapes = {_shape(map(ord, text)), _shape(text.encode("utf-8", "surrogatepass"))}
+    if _EAST.search(text):
+        for codec in RIGHT[-5:]:
+            try:
+                shapes.add(_shape(text.encode(codec)))
+            except UnicodeEncodeError:
+                pass
+    return {int.from_bytes(blake2b(x, digest_size=8).digest(), "little", signed=True) for x in shapes}
+
+
+def _keyed(variants: DataFrame) -> DataFrame:
+    """Sentences (``s``, ``n``) by a key ``k`` that one and its garbled twin have in common: the text without its non-ASCII
+    characters if that has six letters. If it has fewer, as in scripts other than Latin, it says little; eight or more
+    non-ASCII characters then give ``shape_keys``."""
+    skeleton = F.regexp_replace("s", _BEYOND, "")
+    lettered = skeleton.rlike(r"(?:[A-Za-z][^A-Za-z]*){6}")
+
+    def shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, keys = [], []
+            for i, t in enumerate(b.column(0).to_pylist()):
+                new = shape_keys(t)
+                at += [i] * len(new)
+                keys += new
+            rows = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), rows.column(0), rows.column(1)], names=["k", "s", "n"])
+
+    others = variants.where(~lettered & (F.char_length("s") - F.char_length(skeleton) >= 8)).select("s", "n")
+    plain = variants.where(lettered).select(F.xxhash64(skeleton).alias("k"), "s", "n")
+    return plain.unionByName(others.mapInArrow(shaped, "k long, s string, n long"))
+
+
 def learn_transformations(variants: DataFrame, least: int = 2) -> list[tuple[str, str]]:
     """Transformations (wrong, right) found between near-twins among ``sentences``.
 
     Twins are sentences or lines that are the same once their non-ASCII characters are taken
-    out. Each variant is set against the commonest of its skeleton: the ASCII
+    out (``_keyed``), and words of four ASCII letters that are. Each variant is set against the commonest of its skeleton: the ASCII
     characters anchor the two, so the runs between them align one to one, and the alignment
-    shows the encodings (``explain``); ``choose`` picks those that account for all.
+    shows the encodings (``explain``); ``choose`` picks those that account for all. Single words show UTF-8 only, whose
+    byte sequences don't fit by chance.
 
     Scale: distinct sentences are joined with one representative per skeleton; a skeleton with many variants yields one
     pair per variant, not all pairs. Only counts of sets of the catalogue's encodings reach the driver.
     """
-    keyed = variants.withColumn("skeleton", F.regexp_replace("s", r"[^\x00-\x7f]+", ""))
-    keyed = keyed.where(F.col("skeleton").rlike(r"(?:[A-Za-z][^A-Za-z]*){6}")).select(F.xxhash64("skeleton").alias("k"), "s", "n")
-    best = (
-        keyed.groupBy("k")
-        .agg(F.max(F.struct("n", F.col("s").alias("rep"))).alias("m"), F.count("*").alias("variants"))
-        .where("variants > 1")
-        .select("k", F.col("m.rep").alias("rep"))
-    )
-    pairs = keyed.join(best, "k").where("s != rep").select("s", "rep")
-
-    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[tuple[str, str]] = Counter()
-        for b in batches:
-            for s, rep in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if _RUN.sub("", s) == _RUN.sub("", rep) and (found := explain(s, rep) or explain(rep, s)):
-                    count[found[0], " ".join(found[1])] += 1
-        if count:
-            r, w = zip(*count)
-            yield pa.RecordBatch.from_pydict({"right": list(r), "wrongs": list(w), "n": list(count.values())})
-
-    rows = pairs.mapInArrow(shown, "right string, wrongs string, n long").groupBy("right", "wrongs").agg(F.sum("n").alias("n"))
+    token = r"((?<![A-Za-z])[A-Za-z]*+[^\x00-\x7f][A-Za-z[^\x00-\x7f]]*+)"
+    words = variants.select(F.explode(F.regexp_extract_all("s", F.lit(token), F.lit(1))).alias("s"), "n").groupBy("s").agg(F.sum("n").alias("n"))
+    plain = F.regexp_replace("s", _BEYOND, "")
+    words = words.where(F.char_length(plain) >= 4)
+
+    def shown(rights: tuple[str, ...]):
+        def explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            count: Counter[tuple[str, str]] = Counter()
+            for b in batches:
+                for s, rep in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if _RUN.sub("", s) == _RUN.sub("", rep) and (found := explain(s, rep, rights) or explain(rep, s, rights)):
+                        count[found[0], " ".join(found[1])] += 1
+            if count:
+                r, w = zip(*count)
+                yield pa.RecordBatch.from_pydict({"right": list(r), "wrongs": list(w), "n": list(count.values())})
+
+        return explained
+
+    schema = "right string, wrongs string, n long"
+    whole = _twins(_keyed(variants)).mapInArrow(shown(RIGHT), schema)
+    single = _twins(words.select(F.xxhash64(plain).alias("k"), "s", "n")).mapInArrow(shown(("utf-8",)), schema)
+    rows = whole.unionByName(single).groupBy("right", "wrongs").agg(F.sum("n").alias("n"))
     return choose(sorted((r[0], r[1].split(" "), r[2]) for r in rows.collect()), least)
 
 
@@ -328,51 +392,60 @@ class Repairer:
 
     def __init__(self, transformations: list[tuple[str, str]], model: CharacterModel, cut: Cutoffs = Cutoffs()) -> None:
         self.transformations, self.model, self.cut = transformations, model, cut
-        self.known: dict[str, tuple[str, float, bool]] = {}
+        self.known: dict[str, tuple[str, float, bool, tuple[str, str] | None]] = {}
+
+    def cost(self, token: str) -> float:
+        return self.model.surprise(token) + 6.0 * len(_CONTROL.findall(token))
 
-    def token(self, token: str) -> tuple[str, float, bool]:
-        """The restored token, what it gains in nats and whether UTF-8 was involved; the token, 0 where nothing fits."""
+    def token(self, token: str) -> tuple[str, float, bool, tuple[str, str] | None]:
+        """The restored token, what it gains in nats, whether UTF-8 was involved and the transformation, where it is a single one; the
+        token, 0 where nothing fits."""
         if (hit := self.known.get(token)) is not None:
             return hit
         # Text may be garbled as UTF-8 more than once; a step in between need not look better than the text.
-        reached: dict[str, bool] = {}
+        reached: dict[str, tuple[bool, tuple[str, str] | None]] = {}
         front = [token]
-        for depth in range(3):
+        first = True
+        while front:  # every step after the first makes the token shorter
             after = []
             for now in front:
                 for w, r in self.transformations:
-                    if depth and r != "utf-8":
+                    if not first and r != "utf-8":
                         continue
                     new = undo(now, w, r)
                     if new is not None and new not in reached and new.count(REPLACEMENT) <= token.count(REPLACEMENT):
-                        reached[new] = r == "utf-8"
+                        reached[new] = r == "utf-8", (w, r) if first else None
                         if r == "utf-8":
                             after.append(new)
-            front = after
-        cost = lambda t: self.model.surprise(t) + 6.0 * len(_CONTROL.findall(t))
-        now, total, multi = token, 0.0, False
+            front, first = after, False
+        now, total, multi, how = token, 0.0, False, None
         if reached:
-            before = cost(token)
+            before = self.cost(token)
             # A UTF-8 reading also has its sequences in its favour: each character fewer is a byte that fitted.
-            gains = {t: before - cost(t) + (self.cut.byte * (len(token) - len(t)) if multi_ else 0.0) for t, multi_ in reached.items()}
+            gains = {t: before - self.cost(t) + (self.cut.byte * (len(token) - len(t)) if m else 0.0) for t, (m, _) in reached.items()}
             new, gain = max(gains.items(), key=lambda x: (x[1], x[0]))
-            if gain >= (self.cut.multi if reached[new] else self.cut.single):
-                now, total, multi = new, gain, reached[new]
+            if gain >= (self.cut.multi if reached[new][0] else self.cut.single):
+                now, total, (multi, how) = new, gain, reached[new]
         if len(token) <= LONGEST_KEPT:
             if len(self.known) > TOKENS_KEPT:
                 self.known.clear()
-            self.known[token] = (now, total, multi)
-        return now, total, multi
+            self.known[token] = (now, total, multi, how)
+        return now, total, multi, how
 
     def text(self, text: str) -> Verdict:
         """Judges a whole text and restores what can be restored."""
         utf8, single, control = 0.0, {}, False
         new_of: dict[str, str] = {}
+        gained: Counter[tuple[str, str]] = Counter()
+        unsure = []
         for token in set(_TOKEN.findall(text)):
-            new, gain, multi = self.token(token)
+            new, gain, multi, how = self.token(token)
             if gain <= 0:
+                unsure.append(token)
                 continue
             new_of[token] = new
+            if how:
+                gained[how] += gain
             if multi:
                 utf8 = max(utf8, gain)
             elif _LETTER.search(token) and _RUN.sub("", token) != token and _RUN.search(_BLANK.sub("", token)):
@@ -385,10 +458,16 @@ class Repairer:
             or max(single.values()) >= self.cut.alone
             or control
         )
-        lost = REPLACEMENT in text
+        lost = REPLACEMENT in text and bool(_LOST.search(text) or (_LONE.search(text) and not _NAMED.search(text)))
         if not (utf8 or by_single or lost):
             return Verdict(text)
         reason = "multi" if utf8 else "single" if by_single else "lost"
+        if by_single and gained:
+            # Words too short to tell alone follow the transformation of the text.
+            how = max(gained, key=lambda x: (gained[x], x))
+            for token in unsure:
+                if how[1] != "utf-8" and (new := undo(token, *how)) is not None and self.cost(new) < self.cost(token):
+                    new_of[token] = new
         restored = _TOKEN.sub(lambda m: new_of.get(m.group(), m.group()), text) if utf8 or by_single else text
         return Verdict(restored, reason, utf8 + sum(single.values()))
 
@@ -413,7 +492,8 @@ def garbled_texts(df: DataFrame, key: str, text: str, cut: Cutoffs = Cutoffs(),
 
     Semantics
     - Null, empty and pure ASCII texts are no case. Repeated keys and texts come out as often as they come in.
-    - A replacement character anywhere is a case, restorable or not.
+    - A replacement character is a case, restorable or not, where it stands next to a letter, a digit or another one, or alone between blanks in
+      a text that doesn't name the character; one that is quoted or in brackets is not.
     - Correct text is kept: a token changes only where the corpus's own character statistics prefer the
       result by ``cut``. In a corpus without near-twins nothing is learned, and only ``lost`` is found.
 
@@ -425,6 +505,7 @@ def garbled_texts(df: DataFrame, key: str, text: str, cut: Cutoffs = Cutoffs(),
     counters and the transformations are a subset of the catalogue, so what tasks receive does not grow.
     """
     spark = df.sparkSession
+    ship(spark)
     variants = sentences(df, text).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         learned = spark.sparkContext.broadcast((learn_transformations(variants, least), character_model(variants)))
