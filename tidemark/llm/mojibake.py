@@ -254,7 +254,8 @@ def learn_transformations(variants: DataFrame, least: int = 2) -> list[tuple[str
             for b in batches:
                 for s, rep in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     if _RUN.sub("", s) == _RUN.sub("", rep) and (found := explain(s, rep, rights) or explain(rep, s, rights)):
-                        count[found[0], " ".join(found[1])] += 1
+                        # An alignment of many different characters is no chance.
+                        count[found[0], " ".join(found[1])] += 2 if len(set("".join(_RUN.findall(s)))) >= 8 else 1
             if count:
                 r, w = zip(*count)
                 yield pa.RecordBatch.from_pydict({"right": list(r), "wrongs": list(w), "n": list(count.values())})
@@ -405,9 +406,12 @@ class Repairer:
         # Text may be garbled as UTF-8 more than once; a step in between need not look better than the text.
         reached: dict[str, tuple[bool, tuple[str, str] | None]] = {}
         front = [token]
-        first = True
+        first, depth = True, 0
         while front:  # every step after the first makes the token shorter
             after = []
+            depth += 1
+            if depth > 3:  # by now one reading leads
+                front = [min(front, key=lambda t: (len(t), t))]
             for now in front:
                 for w, r in self.transformations:
                     if not first and r != "utf-8":
