@@ -30,6 +30,7 @@ RIGHT = (
     "utf-8", "cp1252", "cp850", "cp437", "cp1250", "iso8859-2", "cp1251", "koi8-r", "mac_roman", "cp852", "cp866",
     "cp1253", "iso8859-7", "cp1254", "iso8859-9", "iso8859-5", "gb18030", "shift_jis", "euc_jp", "big5", "euc_kr",
 )
+_SEVERAL = frozenset(("utf-8", "gb18030", "shift_jis", "euc_jp", "big5", "euc_kr"))
 REPLACEMENT = "�"
 _NEVER = "\uffff"  #: a code point that is no character
 SLOTS = 1 << 20  #: counters of the character model; its size is fixed, whatever the corpus
@@ -73,7 +74,7 @@ def _sequence(wrong: str) -> regex.Pattern:
 def _mapping(wrong: str, right: str) -> dict[int, str] | None:
     """Character to character between two single-byte encodings; a character that ``right`` lacks becomes
     ``_NEVER``. None where ``right`` has sequences of bytes."""
-    if right in ("gb18030", "shift_jis", "euc_jp", "big5", "euc_kr", "utf-8"):
+    if right in _SEVERAL:
         return None
     out = {}
     for c, b in encode_table(wrong).items():
@@ -142,13 +143,26 @@ def explain(garbled: str, clean: str, rights: tuple[str, ...] = RIGHT) -> tuple[
     pairs = [(x, y) for x, y in zip(a, b) if x != y]
     if not pairs or len(a) != len(b):
         return None
+    same = all(len(x) == len(y) for x, y in pairs)
+    fewer = all(len(x) > len(y) for x, y in pairs)
+    by_char = frozenset.intersection(*(_fitting(c, d) for c, d in set(zip("".join(x for x, _ in pairs), "".join(y for _, y in pairs))))) if same else frozenset()
     for right in rights:
-        fits = [w for w in WRONG if w != right and all(undo(x, w, right) == y for x, y in pairs)]
+        if right in _SEVERAL:  # a character has several bytes
+            fits = [w for w in WRONG if all(undo(x, w, right) == y for x, y in pairs)] if fewer else []
+        else:
+            fits = [w for w in WRONG if w != right and (w, right) in by_char]
         if fits:
             return right, fits
     return None
 
 
+@lru_cache(maxsize=100_000)
+def _fitting(garbled: str, clean: str) -> frozenset[tuple[str, str]]:
+    """The pairs of single-byte encodings that turn one character into the other."""
+    single = [r for r in RIGHT if r not in _SEVERAL]
+    return frozenset((w, r) for w in WRONG for r in single if _mapping(w, r).get(ord(garbled), garbled) == clean)
+
+
 def choose(seen: list[tuple[str, list[str], int]], least: int) -> list[tuple[str, str]]:
     """The fewest transformations that account for the alignments ``(right, fitting wrongs, count)``.
 
@@ -209,10 +223,10 @@ def shape_keys(text: str) -> set[int]:
     return {int.from_bytes(blake2b(x, digest_size=8).digest(), "little", signed=True) for x in shapes}
 
 
-def _keyed(variants: DataFrame) -> DataFrame:
+def _keyed(variants: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sentences (``s``, ``n``) by a key ``k`` that one and its garbled twin have in common: the text without its non-ASCII
     characters if that has six letters. If it has fewer, as in scripts other than Latin, it says little; eight or more
-    non-ASCII characters then give ``shape_keys``."""
+    non-ASCII characters then give ``shape_keys``. The former and the latter apart."""
     skeleton = F.regexp_replace("s", _BEYOND, "")
     lettered = skeleton.rlike(r"(?:[A-Za-z][^A-Za-z]*){6}")
 
@@ -228,7 +242,7 @@ def _keyed(variants: DataFrame) -> DataFrame:
 
     others = variants.where(~lettered & (F.char_length("s") - F.char_length(skeleton) >= 8)).select("s", "n")
     plain = variants.where(lettered).select(F.xxhash64(skeleton).alias("k"), "s", "n")
-    return plain.unionByName(others.mapInArrow(shaped, "k long, s string, n long"))
+    return plain, others.mapInArrow(shaped, "k long, s string, n long")
 
 
 def learn_transformations(variants: DataFrame, least: int = 2) -> list[tuple[str, str]]:
@@ -263,10 +277,17 @@ def learn_transformations(variants: DataFrame, least: int = 2) -> list[tuple[str
         return explained
 
     schema = "right string, wrongs string, n long"
-    whole = _twins(_keyed(variants)).mapInArrow(shown(RIGHT), schema)
-    single = _twins(words.select(F.xxhash64(plain).alias("k"), "s", "n")).mapInArrow(shown(("utf-8",)), schema)
-    rows = whole.unionByName(single).groupBy("right", "wrongs").agg(F.sum("n").alias("n"))
-    return choose(sorted((r[0], r[1].split(" "), r[2]) for r in rows.collect()), least)
+    lettered, shaped = _keyed(variants)
+    # Both are read twice, for the commonest of a key and for the others.
+    shaped, words = (x.persist(StorageLevel.MEMORY_AND_DISK) for x in (shaped, words.select(F.xxhash64(plain).alias("k"), "s", "n")))
+    try:
+        whole = _twins(lettered.unionByName(shaped)).mapInArrow(shown(RIGHT), schema)
+        single = _twins(words).mapInArrow(shown(("utf-8",)), schema)
+        rows = whole.unionByName(single).groupBy("right", "wrongs").agg(F.sum("n").alias("n"))
+        return choose(sorted((r[0], r[1].split(" "), r[2]) for r in rows.collect()), least)
+    finally:
+        shaped.unpersist()
+        words.unpersist()
 
 
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
