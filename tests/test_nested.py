@@ -88,11 +88,36 @@ def test_inlining_decides_by_the_schema_graph():
 def test_tables_keep_links_and_lose_nothing(spark):
     docs = {k: json.dumps(v) for k, v in DOCS.items()}
     rows = nested.shred(spark.createDataFrame(list(docs.items()), "key string, doc string"), "t", "key", "doc").collect()
-    keys = {(r.root_key, r.path) for r in rows}
-    assert all((r.root_key, r.parent_path) in keys for r in rows)
+    keys = {(r.doc_id, r.path) for r in rows}
+    assert len(keys) == len(rows) and all((r.doc_id, r.parent_path) in keys for r in rows)
     scalars = sum(len(r.columns) for r in rows)
 
     def leaves(v):
         return sum(map(leaves, v.values())) if isinstance(v, dict) else sum(map(leaves, v)) if isinstance(v, list) else 1
 
     assert scalars == sum(leaves(v) for v in DOCS.values())
+
+
+def test_keys_with_several_documents_keep_their_links(spark):
+    docs = [("k", '{"a":[{"b":[{}]}]}'), ("k", '{"a":[{"b":[{}],"c":1}]}'), ("k", '{"a":[{"b":[{}]}]}'), (None, '{"a":[{}]}'), (None, '{"a":[{"c":2}]}')]
+    rows = nested.shred(spark.createDataFrame(docs, "key string, doc string"), "t", "key", "doc").collect()
+    keys = {(r.doc_id, r.path) for r in rows}
+    assert len(keys) == len(rows) == 3 + 3 + 2 + 2
+    assert all((r.doc_id, r.parent_path) in keys and r.root_key in ("k", "") for r in rows)
+
+
+def test_members_that_are_data_become_a_map(spark, monkeypatch):
+    monkeypatch.setattr(nested, "MAX_EDGES", 60)
+    monkeypatch.setattr(nested, "MAX_MEMBERS", 20)
+    docs = [(f"d{k}", json.dumps({"by_id": {f"m{k}_{j}": {"v": j, "xs": [{"y": j}]} for j in range(10)}, "n": k})) for k in range(20)]
+    df = spark.createDataFrame(docs, "key string, doc string")
+    plan = nested.analyse(df, "doc")
+    assert plan.maps == {"by_id"} and plan.reasons["by_id.*"] == "repeated"
+    rows = nested.shred(df, "t", "key", "doc", plan).collect()
+    keys = {(r.doc_id, r.path) for r in rows}
+    assert all((r.doc_id, r.parent_path) in keys for r in rows)
+    count = {}
+    for r in rows:
+        count[r.table_name] = count.get(r.table_name, 0) + 1
+    assert count == {"$": 20, "by_id.*": 200, "xs": 200}
+    assert {r.columns["v"] for r in rows if r.table_name == "by_id.*"} == {str(j) for j in range(10)}

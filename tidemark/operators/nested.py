@@ -11,15 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct (element, member) edges beyond which a schema graph is refused: members
-#: are then data (keys of a map), not a schema.
+from ..sources.tables import ship
+
+#: Distinct (element, member) edges of a schema graph that reach the driver. Where there are more, elements of more than
+#: ``MAX_MEMBERS`` members are maps: their members are data, not a schema, and share one element, ``<map>.*``.
 MAX_EDGES = 200_000
+MAX_MEMBERS = 1_000
 
 _EDGE = pa.schema([("parent", pa.string()), ("member", pa.string()), ("kind", pa.string())])
 _ROW = pa.schema(
     [
         ("root_table", pa.string()),
         ("root_key", pa.string()),
+        ("doc_id", pa.string()),
         ("table_name", pa.string()),
         ("path", pa.string()),
         ("parent_path", pa.string()),
@@ -128,7 +132,7 @@ def _deep(text: str):
                 raise ValueError("comma expected")
 
 
-def _edges(value) -> Iterator[tuple[str, str, str]]:
+def _edges(value, maps: frozenset[str] = frozenset()) -> Iterator[tuple[str, str, str]]:
     """(element, member, kind) edges of one document. An element is named by the member
     that holds it; the parts of an array are elements of the array's name. ``*``
     marks a repeated child, ``1`` a singleton object, ``=`` a scalar."""
@@ -137,7 +141,9 @@ def _edges(value) -> Iterator[tuple[str, str, str]]:
         name, v = stack.pop()
         if isinstance(v, dict):
             for m, x in v.items():
-                yield name, m, "1" if isinstance(x, dict) else "*" if isinstance(x, list) else "="
+                if name in maps:
+                    m = name + ".*"
+                yield name, m, "*" if isinstance(x, list) or (name in maps and isinstance(x, dict)) else "1" if isinstance(x, dict) else "="
                 if isinstance(x, (dict, list)):
                     stack.append((m, x))
         elif isinstance(v, list):
@@ -153,9 +159,10 @@ class Inlining:
 
     tables: frozenset[str]
     reasons: dict[str, str] = field(default_factory=dict)
+    maps: frozenset[str] = frozenset()
 
     @staticmethod
-    def of(edges: list[tuple[str, str, str]]) -> Inlining:
+    def of(edges: list[tuple[str, str, str]], maps: frozenset[str] = frozenset()) -> Inlining:
         """Shared inlining over the schema graph.
 
         An element gets a table if it is the root, repeated (below an array), shared
@@ -176,7 +183,7 @@ class Inlining:
                 why.setdefault(m, "shared")
         for m in _on_cycles(children):
             why.setdefault(m, "recursive")
-        return Inlining(frozenset(why), why)
+        return Inlining(frozenset(why), why, maps)
 
 
 def _on_cycles(children: dict[str, set[str]]) -> set[str]:
@@ -249,17 +256,18 @@ def shred_document(value, inlining: Inlining) -> Iterator[tuple]:
                 inner.append((f"{where}[{i}]", path, element, below, name, member, i, True, x))
 
         if isinstance(v, dict):
-            todo = [("", path, v)]
+            todo = [("", path, element, v)]
             while todo:
-                prefix, at, obj = todo.pop()
+                prefix, at, of, obj = todo.pop()
                 for m, x in obj.items():
                     where = f"{at}.{m}" if at else m
+                    name = of + ".*" if of in inlining.maps else m
                     if isinstance(x, list):
-                        parts(where, m, prefix + m, x)
-                    elif isinstance(x, dict) and m in inlining.tables:
-                        inner.append((where, path, element, below, m, prefix + m, 0, False, x))
+                        parts(where, name, prefix + m, x)
+                    elif isinstance(x, dict) and name in inlining.tables:
+                        inner.append((where, path, element, below, name, prefix + m, 0, False, x))
                     elif isinstance(x, dict):
-                        todo.append((prefix + m + ".", where, x))
+                        todo.append((prefix + m + ".", where, name, x))
                     else:
                         columns[prefix + m] = _scalar(x)
         elif isinstance(v, list):
@@ -270,7 +278,7 @@ def shred_document(value, inlining: Inlining) -> Iterator[tuple]:
         stack.extend(reversed(inner))
 
 
-def schema_graph(df: DataFrame, column: str) -> DataFrame:
+def schema_graph(df: DataFrame, column: str, maps: frozenset[str] = frozenset()) -> DataFrame:
     """Distinct (parent, member, kind) edges of all documents of a column."""
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +286,7 @@ def schema_graph(df: DataFrame, column: str) -> DataFrame:
         for b in batches:
             new = {}
             for text in b.column(0).to_pylist():
-                for e in _edges(read_document(text)):
+                for e in _edges(read_document(text), maps):
                     if e not in seen:
                         new[e] = None
                         if len(seen) < MAX_EDGES:
@@ -292,52 +300,68 @@ def schema_graph(df: DataFrame, column: str) -> DataFrame:
 
 
 def analyse(df: DataFrame, column: str) -> Inlining:
-    """The inlining of a column's schema graph. Only the graph's distinct edges reach the driver,
-    and a graph of more than ``MAX_EDGES`` is refused."""
-    rows = schema_graph(df, column).limit(MAX_EDGES + 1).collect()
-    if len(rows) > MAX_EDGES:
-        raise ValueError(f"more than {MAX_EDGES} members: these names are data, not a schema")
-    return Inlining.of([(r[0], r[1], r[2]) for r in rows])
+    """The inlining of a column's schema graph. At most ``MAX_EDGES`` distinct edges reach the driver. A larger graph is
+    gone over again with its widest elements as maps, level by level; one of more edges without an element wider
+    than ``MAX_MEMBERS`` is refused."""
+    ship(df.sparkSession)
+    maps: frozenset[str] = frozenset()
+    while True:
+        graph = schema_graph(df, column, maps)
+        rows = graph.limit(MAX_EDGES + 1).collect()
+        if len(rows) <= MAX_EDGES:
+            return Inlining.of([(r[0], r[1], r[2]) for r in rows], maps)
+        wide = graph.groupBy("parent").agg(F.count("*").alias("n")).where(F.col("n") > MAX_MEMBERS).orderBy(F.desc("n"), "parent").limit(1000)
+        new = {r[0] for r in wide.collect()} - maps
+        if not new:
+            raise ValueError(f"more than {MAX_EDGES} members in elements of at most {MAX_MEMBERS}")
+        maps |= new
+
+
+def _documents(df: DataFrame, key: F.Column | str, column: str) -> DataFrame:
+    key = F.col(key) if isinstance(key, str) else key
+    return df.select(F.coalesce(key.cast("string"), F.lit("")).alias("root_key"), F.col(f"`{column}`").cast("string").alias("doc"))
 
 
 def shred(df: DataFrame, root_table: str, key: F.Column | str, column: str, inlining: Inlining | None = None) -> DataFrame:
     """Flat related rows of the nested documents in ``column``.
 
-    Output, one row per element with a table of its own: ``root_table``, ``root_key``,
+    Output, one row per element with a table of its own: ``root_table``, ``root_key``, ``doc_id``,
     ``table_name``, ``path``, ``parent_path``, ``parent_table``, ``member``, ``ordinal``,
     ``is_object``, ``in_array``, ``object_path`` and ``columns`` (name to text of the scalars inlined into the row).
-    (``root_key``, ``path``) is the key, (``root_key``, ``parent_path``) the foreign key to the parent's
+    (``doc_id``, ``path``) is the key, (``doc_id``, ``parent_path``) the foreign key to the parent's
     row, ``root_key`` that to the source row. ``table_of`` cuts one table out.
 
     Semantics
+    - ``doc_id`` is the MD5 of key and document: a key that is delivered with several documents, or no key at all, keeps
+      the rows of its documents apart. The same document of the same key counts once.
     - Null and unreadable documents, among them cut-off ones, give no rows; an empty object gives a
       root row without columns; an empty array gives no rows of its own.
     - A member that is null is a column with a null value; an absent member is no
       column. Documents wrapped in a string are unwrapped. A lone surrogate comes out as a replacement character.
-    - A null key is the empty string. Repeated documents repeat their rows.
+    - A null key is the empty string.
 
-    Scale: two passes over the column (the graph, then the rows), no shuffle but
-    the distinct edges. A document is shredded where it is read.
+    Scale: two passes over the column (the graph, then the rows); the distinct edges and the distinct documents are shuffled,
+    both combined map-side. A document's rows are made in one go and leave in batches.
     """
     inlining = inlining or analyse(df, column)
-    key = F.col(key) if isinstance(key, str) else key
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for k, text, doc in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 for r in shred_document(read_document(text), inlining):
-                    out.append((root_table, k, *r))
-                if len(out) >= 50_000:
-                    yield _batch(out)
-                    out = []
+                    out.append((root_table, k, doc, *r))
+                    if len(out) >= 50_000:
+                        yield _batch(out)
+                        out = []
             if out:
                 yield _batch(out)
 
-    source = df.select(F.coalesce(key.cast("string"), F.lit("")), F.col(f"`{column}`").cast("string"))
+    source = _documents(df, key, column).where("doc is not null").distinct()
+    source = source.withColumn("doc_id", F.md5(F.concat("root_key", F.lit("\n"), "doc")))
     return source.mapInArrow(
         rows,
-        "root_table string, root_key string, table_name string, path string, parent_path string, "
+        "root_table string, root_key string, doc_id string, table_name string, path string, parent_path string, "
         "parent_table string, member string, ordinal long, is_object boolean, in_array boolean, "
         "object_path string, columns map<string,string>",
     )
@@ -364,18 +388,61 @@ def _sound(x):
 def table_of(shredded: DataFrame, name: str, columns: list[str]) -> DataFrame:
     """One of the related tables with its inlined scalars as columns of their own."""
     return shredded.where(F.col("table_name") == name).select(
-        "root_key", "path", "parent_path", "parent_table", "ordinal",
+        "root_key", "doc_id", "path", "parent_path", "parent_table", "ordinal",
         *[F.try_element_at("columns", F.lit(c)).alias(c.replace(".", "_")) for c in columns],
     )
 
 
-def nested_objects(df: DataFrame, root_table: str, key: F.Column | str, column: str, inlining: Inlining | None = None) -> DataFrame:
+def objects_in_arrays(value) -> Iterator[tuple[str, str]]:
+    """(path, path of the nearest such object around it) of every object that is a direct part of an array."""
+    stack = [("", "", value)]
+    while stack:
+        path, near, v = stack.pop()
+        if isinstance(v, dict):
+            stack.extend((f"{path}.{m}" if path else m, near, x) for m, x in v.items() if isinstance(x, (dict, list)))
+        elif isinstance(v, list):
+            for i, x in enumerate(v):
+                if isinstance(x, dict):
+                    where = f"{path}[{i}]"
+                    yield where, near
+                    stack.append((where, where, x))
+                elif isinstance(x, list):
+                    stack.append((f"{path}[{i}]", near, x))
+
+
+def nested_objects(df: DataFrame, root_table: str, key: F.Column | str, column: str) -> DataFrame:
     """Every object that is a direct part of an array, with its nearest such ancestor.
 
     Distinct (``root_table``, ``root_key``, ``path``, ``parent_path``): the rows of ``shred``
-    that are objects in arrays. ``parent_path`` is '' where no such object encloses them. Rows of the same key
-    count together; repetition ends map-side first.
+    that are objects in arrays, without their columns, so neither the schema graph nor scalars are looked at.
+    ``parent_path`` is '' where no such object encloses them. Rows of the same key
+    count together; repetition ends map-side first. Nulls, unreadable and wrapped documents as in ``shred``.
     """
-    rows = shred(df, root_table, key, column, inlining)
-    objects = rows.where(F.col("is_object") & F.col("in_array"))
-    return objects.select("root_table", "root_key", "path", F.col("object_path").alias("parent_path")).distinct()
+    ship(df.sparkSession)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at: list[int] = []
+            paths: list[str] = []
+            parents: list[str] = []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                for path, parent in objects_in_arrays(read_document(text)):
+                    at.append(i)
+                    paths.append(path)
+                    parents.append(parent)
+                if len(at) >= 50_000 or (at and i == b.num_rows - 1):
+                    yield _objects(b, at, paths, parents)
+                    at, paths, parents = [], [], []
+            if at:
+                yield _objects(b, at, paths, parents)
+
+    out = _documents(df, key, column).mapInArrow(rows, "root_key string, path string, parent_path string").distinct()
+    return out.select(F.lit(root_table).alias("root_table"), "root_key", "path", "parent_path")
+
+
+def _objects(b: pa.RecordBatch, at: list[int], paths: list[str], parents: list[str]) -> pa.RecordBatch:
+    try:
+        columns = [pa.array(paths, pa.string()), pa.array(parents, pa.string())]
+    except UnicodeEncodeError:
+        columns = [pa.array([_sound(x) for x in c], pa.string()) for c in (paths, parents)]
+    return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *columns], names=["root_key", "path", "parent_path"])

@@ -63,11 +63,34 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p2_tables(spark: SparkSession, root: str) -> DataFrame:
-    """Rows and distinct columns of each related table."""
+    """Rows and objects of each related table of repeated elements."""
     parts = [nested.shred(*s) for s in _p2_sources(spark, root)]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    count = rows.groupBy("root_table", "table_name", "parent_table").agg(F.count("*").alias("n_rows"))
-    return count
+    return rows.where("in_array").groupBy("root_table", "table_name").agg(F.count("*").alias("n_rows"), F.count_if("is_object").alias("n_objects"))
+
+
+#: Related tables that are queries of their own: source, element, scalars of text and of numbers.
+RELATED: dict[str, tuple[str, str, list[str], list[str]]] = {
+    "p2_steps": ("runs", "steps", ["step", "status"], ["duration.total_s"]),
+    "p2_providers": ("runs", "providers", ["name"], []),
+    "p2_attempts": ("runs", "attempts", [], ["n"]),
+    "p2_errors": ("runs", "errors", ["message"], ["code"]),
+    "p2_evidence": ("verdicts", "evidence", ["source_id"], []),
+    "p2_strategies": ("config_versions", "strategies", ["key"], []),
+    "p2_filters": ("config_versions", "filters", ["field", "op"], ["value"]),
+    "p2_tiers": ("config_versions", "tiers", [], ["upto", "pct"]),
+}
+
+
+def _related(source: str, element: str, texts: list[str], numbers: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        """One related table: key (doc_id, path), foreign key (doc_id, parent_path), source row root_key."""
+        (args,) = [s for s in _p2_sources(spark, root) if s[1] == source]
+        rows = nested.shred(*args).where("is_object and in_array")
+        t = nested.table_of(rows, element, [*texts, *numbers]).drop("parent_table")
+        return t.withColumns({c.replace(".", "_"): F.col(c.replace(".", "_")).try_cast("double") for c in numbers})
+
+    return run
 
 
 def _p3_readings(spark: SparkSession, root: str) -> DataFrame:
@@ -180,6 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_rolling": p1_rolling,
     "p2_found": p2_found,
     "p2_tables": p2_tables,
+    **{name: _related(*spec) for name, spec in RELATED.items()},
     "p3_found": p3_found,
     "p3_reasons": p3_reasons,
     "p4_found": p4_found,
@@ -228,8 +252,26 @@ up AS (SELECT doc, id, parent AS cur FROM o WHERE hit UNION ALL SELECT up.doc, u
 near AS (SELECT up.doc, up.id, o.path FROM up JOIN o ON o.doc = up.doc AND o.id = up.cur WHERE o.hit)
 SELECT DISTINCT o.root_table, o.root_key, o.path, coalesce(near.path, '') AS parent_path FROM o LEFT JOIN near ON near.doc = o.doc AND near.id = o.id WHERE o.hit"""
 
+_TREE = _OBJECTS[: _OBJECTS.index("o AS (")]
+
+
+def _related_sql(source: str, element: str, texts: list[str], numbers: list[str]) -> str:
+    read = lambda c: f"json_extract_string(t.value, '$.{c}')"
+    cols = [f"{read(c)} AS {c}" for c in texts] + [f"TRY_CAST({read(c)} AS DOUBLE) AS {c.replace('.', '_')}" for c in numbers]
+    tree = _TREE.replace("e.type,", "e.type, e.value, k.doc_id,").replace("SELECT root_table, root_key, CASE", "SELECT root_table, root_key, md5(root_key || chr(10) || j) AS doc_id, CASE")
+    return (
+        f"{tree.rstrip().rstrip(',')} SELECT t.root_key, t.doc_id, t.path, regexp_replace(regexp_replace(t.path, '[.]?{element}\\[[0-9]+\\]$', ''), '[^\\]]*$', '') AS parent_path, "
+        f"CAST(regexp_extract(t.path, '\\[([0-9]+)\\]$', 1) AS BIGINT) AS ordinal, {', '.join(cols)} "
+        f"FROM t WHERE t.root_table = '{source}' AND t.type = 'OBJECT' AND regexp_matches(t.path, '(^|[.]){element}\\[[0-9]+\\]$')"
+    )
+
+
 SQL: dict[str, str] = {
     "p2_found": _OBJECTS,
+    "p2_tables": f"""{_TREE} a AS (SELECT t.root_table, t.path, t.type FROM t JOIN t p ON p.doc = t.doc AND p.id = t.parent WHERE p.type = 'ARRAY'),
+n AS (SELECT root_table, type, CASE WHEN path LIKE '[%' AND NOT contains(path, '.') THEN '$' ELSE regexp_extract(path, '([^.\\[\\]]*)(\\[[0-9]+\\])+$', 1) END AS table_name FROM a)
+SELECT root_table, table_name, count(*) AS n_rows, count(*) FILTER (WHERE type = 'OBJECT') AS n_objects FROM n GROUP BY root_table, table_name""",
+    **{name: _related_sql(*spec) for name, spec in RELATED.items()},
     "p1_found": f"""WITH {_DENSE}, t AS (SELECT symbol, lo, date, sum(coalesce(volume, 0)) {_W.format(6)} AS v7, sum(coalesce(volume, 0)) {_W.format(29)} AS v30 FROM dense)
 SELECT symbol, strftime(date, '%Y-%m-%d') AS day, CASE WHEN v7 = 0 THEN 'quiet' ELSE 'surge' END AS kind FROM t
 WHERE date >= lo + 29 AND (v7 = 0 OR (v7 > 0 AND 10 * v7 >= 7 * v30))""",
