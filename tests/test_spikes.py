@@ -117,3 +117,51 @@ def test_runs():
     seg = np.zeros(len(x), int)
     assert np.flatnonzero(spikes.runs(x, seg, 5)).tolist() == [4, 5, 6, 7]
     assert not spikes.runs(np.full(8, 3.0), np.array([0, 0, 0, 0, 1, 1, 1, 1]), 5).any()
+
+
+def walk(seed, n, start=50.0):
+    rnd = np.random.default_rng(seed)
+    return start * np.exp(np.cumsum(rnd.normal(0, 0.01, n)))
+
+
+def judged(close, open_=None, high=None, volume=None):
+    close = np.asarray(close, float)
+    open_ = close.copy() if open_ is None else open_
+    high = np.maximum(open_, close) * 1.002 if high is None else high
+    low = np.minimum(open_, close) * 0.998
+    volume = np.random.default_rng(3).integers(9_000, 11_000, len(close)).astype(float) if volume is None else volume
+    flags = spikes.judge(np.zeros(len(close), np.int64), open_, high, low, close, volume, spikes.Limits())
+    return {r: np.flatnonzero(f).tolist() for r, f in flags.items() if f.any()}
+
+
+def test_short_sources_have_spikes():
+    for n in (3, 5, 7):
+        close = walk(n, n)
+        assert judged(close) == {}
+        close[1] *= 100
+        assert judged(close)["price_spike"] == [1]
+
+
+def test_first_and_last_close():
+    close = walk(4, 60)
+    close[0] *= 100
+    close[-1] /= 100
+    assert judged(close)["price_spike"] == [0, 59]
+    shifted = walk(5, 60)
+    shifted[-1] *= 2  # may last
+    assert judged(shifted) == {}
+
+
+def test_rounds_end_when_nothing_is_left():
+    close = walk(6, 700)
+    at = np.arange(100, 600, 4)
+    close[at] *= np.exp(0.4 + 0.01 * np.arange(len(at)))
+    assert judged(close)["price_spike"] == at.tolist()
+
+
+def test_wrong_open_together_with_its_high():
+    close = walk(7, 80)
+    open_ = close * 1.001
+    open_[40] = close[40] * 3
+    high = np.maximum(open_, close) * 1.002
+    assert judged(close, open_, high) == {"range_spike": [40]}

@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import ship
+
 #: Rows of whole sources that are worked on at once; bounds a task's memory.
 ROWS_AT_ONCE = 100_000
 REASONS = ("limit", "contradiction", "price_spike", "range_spike", "volume_spike", "stuck_close", "stuck_volume")
@@ -19,7 +21,13 @@ REASONS = ("limit", "contradiction", "price_spike", "range_spike", "volume_spike
 @dataclass(frozen=True)
 class Limits:
     """Cutoffs in robust standard deviations of the source's own residuals, and run lengths: of stuck readings at
-    the least, of a change that passes at the most."""
+    the least, of a change that passes at the most.
+
+    A source of fewer than ``least_rows`` rows has no scale to speak of, as one spike is half of its moves; it takes ``few_price`` (of log prices) or
+    ``few_volume`` (of decimal logarithms), a wide scale for a daily move. A first or last close has one
+    neighbour, so a lasting change can't be told from a spike there: it must depart by ``edge`` scales and by ``edge_price`` (a factor of
+    five). ``reach``: how far a high or low lies beyond the closes of the day and of its neighbours.
+    """
 
     price: float = 6.5
     volume: float = 4.0
@@ -28,7 +36,11 @@ class Limits:
     run: int = 5
     passing: int = 4
     least_rows: int = 8
-    rounds: int = 50
+    few_price: float = 0.1
+    few_volume: float = 0.2
+    edge: float = 20.0
+    edge_price: float = 1.6
+    reach: float = 20.0
 
 
 def segment_median(x: np.ndarray, seg: np.ndarray, n: int) -> np.ndarray:
@@ -104,29 +116,33 @@ def passing_changes(v: np.ndarray, seg: np.ndarray, unit: np.ndarray, cut: float
     return out
 
 
-def additive_outliers(x: np.ndarray, seg: np.ndarray, n: int, cut: float, lim: Limits) -> tuple[np.ndarray, np.ndarray]:
+def fit(x: np.ndarray, seg: np.ndarray, n: int, lim: Limits, few: float) -> tuple[np.ndarray, np.ndarray]:
+    """Robust scale of the innovations and AR(1) coefficient by segment; of a short segment ``few`` and none."""
+    before = x - _neighbour(x, seg, -1)
+    scale = np.maximum(robust_scale(before, seg, n), 1e-4)
+    short = np.bincount(seg, minlength=n) < lim.least_rows
+    scale = np.where(short, few, scale)
+    return scale, np.where(short, 0, _phi(before, _neighbour(before, seg, -1), scale, seg, n))
+
+
+def additive_outliers(x: np.ndarray, seg: np.ndarray, n: int, cut: float, lim: Limits, few: float, edge: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a level series that are additive outliers, and the scale of its innovations by segment.
 
     The series' differences follow a robust AR(1) per segment. At each row the effect of an
     additive outlier (the level leaves and comes back) and that of a level shift (it stays) are
     estimated from the residuals. A row is an outlier if it departs from both neighbours by
     ``cut`` scales in the same direction and the additive model explains more than the shift. In every
-    round the strongest row of its neighbourhood is taken out and the rows around it meet their new
+    round the strongest row of its neighbourhood is taken out, the model of its segment is fitted again and the rows around it meet their new
     neighbours. When none is left, short runs that leave the level and come back are taken out
-    (``passing_changes``) and the rounds go on. They end when neither is left. A first or last row has no second
-    neighbour and is never taken for an additive outlier.
+    (``passing_changes``), then first and last rows that depart from the model's forecast by ``lim.edge`` scales and by ``edge``, and the rounds go on. They
+    end when nothing is left; each takes out a row at least.
     """
     out = np.zeros(len(x), bool)
     live = np.flatnonzero(~np.isnan(x))
-    scale = np.full(n, np.nan)
-    for _ in range(lim.rounds):
+    scale, phi = fit(x[live], seg[live], n, lim, few)
+    while len(live):
         v, s = x[live], seg[live]
         before = v - _neighbour(v, s, -1)
-        if np.isnan(scale).all():
-            scale = np.maximum(robust_scale(before, s, n), 1e-4)
-            few = np.bincount(s, minlength=n) < lim.least_rows
-            scale[few] = np.nan
-            phi = _phi(before, _neighbour(before, s, -1), scale, s, n)
         f, unit = phi[s], scale[s]
         e = before - f * np.nan_to_num(_neighbour(before, s, -1))
         e1, e2 = _neighbour(e, s, 1), np.nan_to_num(_neighbour(e, s, 2))
@@ -142,10 +158,23 @@ def additive_outliers(x: np.ndarray, seg: np.ndarray, n: int, cut: float, lim: L
                 hit &= strength >= np.nan_to_num(_neighbour(strength, s, k))
         else:
             hit = passing_changes(v, s, unit, cut, lim.passing)
-            if not hit.any():
-                break
+        if not hit.any() and np.isfinite(edge):
+            first, last = np.isnan(before), np.isnan(after)
+            back = -(after - f * np.nan_to_num(_neighbour(after, s, 1)))  # the model runs backwards as well
+            off = np.where(last & ~first, np.abs(e), np.where(first & ~last, np.abs(back), 0))
+            third = np.bincount(s, minlength=n)[s] > 2  # of two rows none is the odd one
+            with np.errstate(invalid="ignore"):
+                hit = third & (off >= lim.edge * unit) & (off >= edge)
+        if not hit.any():
+            break
         out[live[hit]] = True
+        again = np.zeros(n, bool)
+        again[s[hit]] = True
         live = live[~hit]
+        rows = live[again[seg[live]]]
+        new_scale, new_phi = fit(x[rows], seg[rows], n, lim, few)
+        fitted = again & ~np.isnan(new_scale)
+        scale, phi = np.where(fitted, new_scale, scale), np.where(fitted, new_phi, phi)
     return out, scale
 
 
@@ -176,16 +205,21 @@ def judge(seg, o, h, l, c, v, lim: Limits) -> dict[str, np.ndarray]:  # noqa: E7
         )
     use = sound & ~contradiction
     x = np.where(use, np.log(np.where(use, p[3], 1)), np.nan)
-    price, scale = additive_outliers(x, seg, n, lim.price, lim)
+    price, scale = additive_outliers(x, seg, n, lim.price, lim, lim.few_price, lim.edge_price)
     with np.errstate(invalid="ignore", divide="ignore"):
         lp = np.log(np.where(use, p, np.nan))
         top, bottom = np.maximum(lp[0], lp[3]), np.minimum(lp[0], lp[3])
         wick = np.maximum(lp[1] - top, bottom - lp[2]) / scale[seg] if n else np.zeros(0)
-        range_ = wick >= lim.wick
+        # A wrong open takes the body with it: the closes around the row don't.
+        sane = np.where(price, np.nan, lp[3])
+        closes = np.vstack([sane, _neighbour_valid(sane, seg, -1), _neighbour_valid(sane, seg, 1)])
+        known = (~np.isnan(closes)).sum(axis=0) > 1
+        reach = np.maximum(lp[1] - np.fmax.reduce(closes), np.fmin.reduce(closes) - lp[2]) / scale[seg] if n else np.zeros(0)
+        range_ = (wick >= lim.wick) | (known & (reach >= lim.reach))
         volume = np.where(v > 0, np.log10(np.where(v > 0, v, 1)), np.nan)
     # A reading of volume must be an additive outlier of its autoregression and lie a factor away from its neighbours'
     # median: the first test lets lasting changes pass, the second busy days.
-    outlier, _ = additive_outliers(volume, seg, n, lim.volume, lim)
+    outlier, _ = additive_outliers(volume, seg, n, lim.volume, lim, lim.few_volume)
     around = np.vstack([_neighbour_valid(volume, seg, k) for k in (-5, -4, -3, -2, -1, 1, 2, 3, 4, 5)]) if n else np.zeros((10, 0))
     with np.errstate(invalid="ignore"):
         own = segment_median(volume, seg, n)[seg] if n else volume
@@ -193,7 +227,7 @@ def judge(seg, o, h, l, c, v, lim: Limits) -> dict[str, np.ndarray]:  # noqa: E7
         far = lambda ref: np.abs(volume - ref) >= lim.volume_log10
         # The first and the last reading have one neighbour; there the source's own median stands for the other.
         edge = np.isnan(_neighbour_valid(volume, seg, -1)) | np.isnan(_neighbour_valid(volume, seg, 1))
-        enough = np.bincount(seg[~np.isnan(volume)], minlength=n)[seg] >= lim.least_rows if n else np.zeros(0, bool)
+        enough = np.bincount(seg[~np.isnan(volume)], minlength=n)[seg] > 3 if n else np.zeros(0, bool)
         vol = far(local) & (outlier | (edge & enough & far(own)))
     stuck_c = runs(np.where(null[3] | ~np.isfinite(c), np.nan, c), seg, lim.run)
     stuck_v = runs(np.where((v == 0) | np.isnan(v), np.nan, v), seg, lim.run)
@@ -229,18 +263,21 @@ def implausible_readings(
     - ``limit``: a price that is NaN, infinite, zero or negative, or a negative volume.
     - ``contradiction``: high below, or low above, another price of the row.
     - ``price_spike``: the close is an additive outlier of the source's robust autoregression, or one of at most
-      ``limits.passing`` bars in a row that leave the level and come back; a lasting change of level is a level shift and no case.
-    - ``range_spike``: high or low lies outside the row's body by ``limits.wick`` of the source's scales.
+      ``limits.passing`` bars in a row that leave the level and come back; a lasting change of level is a level shift and no case. A first or
+      last close has one neighbour; it must depart from the forecast by ``limits.edge`` scales and a factor of five.
+    - ``range_spike``: high or low lies outside the row's body by ``limits.wick`` of the source's scales, or beyond the closes of the
+      row and its neighbours by ``limits.reach``.
     - ``volume_spike``: the volume's logarithm is such an outlier or run of its robust autoregression and a factor of
       ``10 ** volume_log10`` away from its neighbours' median; a first or last volume, also from the source's own.
     - ``stuck_*``: an unchanged close or volume in at least ``limits.run`` consecutive bars, the first aside.
     - Null prices and null or zero volume are no reading; rows with any null price take no
-      part in the spike tests. Sources of fewer than ``least_rows`` rows have no spikes. Rows
+      part in the spike tests. Sources of fewer than ``limits.least_rows`` rows are measured by a fixed scale. Rows
       with a null entity or day are ignored. An empty table gives no rows.
 
     Scale: one shuffle by entity. Sources stream through sorted; about ``ROWS_AT_ONCE`` rows of whole
     sources are judged together by array operations. One source's rows are bounded by the calendar.
     """
+    ship(bars.sparkSession)
     names = [*prices, volume]
     rows = (
         bars.where(F.col(entity).isNotNull() & F.col(day).isNotNull())
