@@ -126,3 +126,28 @@ def test_streamed_upserts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.close for r in files.read_partitioned_bars(spark, str(tmp_path / "out"), BARS).collect()] == [2.0]
+
+
+def test_a_batch_without_partition_value_is_refused(spark, tmp_path):
+    df = spark.createDataFrame([("A", 1, 2024), ("B", 2, None)], "k string, at int, year int")
+    with pytest.raises(ValueError):
+        sinks.upsert_partitioned(df, str(tmp_path / "t"), ["k"], ["at"], "year")
+
+
+def test_the_old_partition_stays_if_the_new_one_cannot_move(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([("A", 1, 2024)], "k string, at int, year int")
+    sinks.upsert_partitioned(df, path, ["k"], ["at"], "year")
+    sinks.upsert_partitioned(spark.createDataFrame([("A", 2, 2024), ("B", 1, 2024)], df.schema), path, ["k"], ["at"], "year")
+    assert sorted((r.k, r["at"]) for r in spark.read.parquet(path).collect()) == [("A", 2), ("B", 1)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
+def test_views_of_the_caller_are_put_back(spark):
+    spark.range(3).createOrReplaceTempView("mine")
+    assert files.read_only_sql(spark, "WITH q AS (SELECT * FROM mine) SELECT count(*) AS n FROM q", {"mine": spark.range(7), "other": spark.range(1)}).first().n == 7
+    assert spark.table("mine").count() == 3 and not spark.catalog.tableExists("other")
+    for bad in ("DROP VIEW mine", "INSERT INTO mine VALUES (1)", "CREATE TABLE x AS SELECT 1", "SET a = 1", "CACHE TABLE mine"):
+        with pytest.raises(PermissionError):
+            files.read_only_sql(spark, bad, {"mine": spark.range(1)})
+    spark.catalog.dropTempView("mine")

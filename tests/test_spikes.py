@@ -97,7 +97,7 @@ def test_nulls_empty_and_short_series(spark):
     short[3][2] *= 50
     short[1][2] *= 60
     got = flagged(spark, rows_of("S", short) + [(None, dt.date(2024, 1, 1), 1.0, 1.0, 1.0, 1.0, 1, "", 0, 0.0, 0), ("T", None, 1.0, 1.0, 1.0, 1.0, 1, "", 0, 0.0, 0), ("U", dt.date(2024, 1, 1), None, None, None, None, None, "", 0, 0.0, 0), ("U", dt.date(2024, 1, 2), None, 1.0, 1.0, 0.0, None, "", 0, 0.0, 0)])
-    assert got == {("U", 1): {"limit"}}
+    assert got == {("U", 1): {"limit"}, ("S", 2): {"price_spike"}}
 
 
 def test_pieces_do_not_split_a_source(spark, monkeypatch):

@@ -9,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import ship
+
+#: Rows of a hash bucket: 40 bytes each.
+BUCKET_ROWS = 500_000
+
 COMPACT = "snap date, k1 long, k2 long, change string"
 
 
@@ -110,13 +115,15 @@ def snapshot_changes(
     set against each other with ``searchsorted``. Full values are read
     back only for the keys that differ, by a join on (snapshot, key hash).
 
-    Scale: buckets are streamed one at a time; a bucket's size is rows / buckets and
-    does not depend on skew, since a repeated key is made distinct first. The
+    Scale: a bucket holds about ``BUCKET_ROWS`` rows, as the number of buckets follows the number of rows; it
+    does not depend on skew, since a repeated key is made distinct first. Buckets are streamed one at a time. The
     dates of the snapshots, a list as long as the calendar at most, go to the
     driver; nothing else does.
     """
     spark = df.sparkSession
-    buckets = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ship(spark)
+    if buckets is None:
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.select(F.col(f"`{snapshot}`")).count() // BUCKET_ROWS))
     key_cols = [F.col(f"`{k}`") for k in keys]
     rows = df.where(F.col(f"`{snapshot}`").isNotNull() & F.coalesce(*[k.cast("string") for k in key_cols]).isNotNull())
     # A null is hashed as its own value, so that it differs from any text.

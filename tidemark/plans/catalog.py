@@ -31,6 +31,7 @@ DAYS: dict[str, tuple[str, ...]] = {
     "forward_outcomes": ("date",),
     "percentile_ties": ("date",),
     "relative_strength": ("date",),
+    "relative_strength_monthly": ("date",),
     "wilder_rsi14": ("date",),
     "wilder_atr14": ("date",),
     "ema_seeded_21": ("date",),

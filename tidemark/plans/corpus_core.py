@@ -17,7 +17,7 @@ LENGTHS = [7, 30]
 def surviving_bars(spark: SparkSession, root: str, values: list[str]) -> DataFrame:
     """The delivery with the latest ``fetched_at`` of each (symbol, date)."""
     bars = table(spark, root, "bars", ["symbol", "date", *values, "fetched_at"])
-    return dedupe.keep_last(bars, ["symbol", "date"], ["fetched_at"]).select("symbol", "date", *values)
+    return dedupe.keep_last_figures(bars, ["symbol", "date"], "fetched_at", values)
 
 
 def p1_rolling(spark: SparkSession, root: str) -> DataFrame:

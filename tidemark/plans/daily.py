@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None):
 
 def surviving(spark: SparkSession, root: str) -> DataFrame:
     bars = table(spark, root, "bars", ["symbol", "date", *PRICES, "volume", "fetched_at"])
-    return dedupe.keep_last(bars, ["symbol", "date"], ["fetched_at"]).drop("fetched_at")
+    return dedupe.keep_last_figures(bars, ["symbol", "date"], "fetched_at", [*PRICES, "volume"])
 
 
 def finite(c: str) -> F.Column:
@@ -214,17 +214,36 @@ def percentile_ties(spark, root):
     return S.percentile_rank(t, "x", ["date"], "pct").select("date", "symbol", "x", r6(F.col("pct"), "pct"))
 
 
-@query("relative_strength", f""", l AS (SELECT symbol, date, round(0.4 * (close / lag(close, 21) {_ORD} - 1) + 0.2 * (close / lag(close, 42) {_ORD} - 1) + 0.2 * (close / lag(close, 63) {_ORD} - 1) + 0.2 * (close / lag(close, 84) {_ORD} - 1), 6) AS rs FROM b),
+def _strength_sql(lags: tuple[int, ...]) -> str:
+    parts = " + ".join(f"{w} * (close / lag(close, {n}) {_ORD} - 1)" for w, n in zip(_WEIGHTS, lags))
+    return f""", l AS (SELECT symbol, date, round({parts}, 6) AS rs FROM b),
 m AS (SELECT * FROM l WHERE rs IS NOT NULL), k AS (SELECT date, rs, count(*) AS k FROM m GROUP BY date, rs),
 p AS (SELECT date, rs, k, sum(k) OVER (PARTITION BY date ORDER BY rs) AS upto, sum(k) OVER (PARTITION BY date) AS n FROM k)
-SELECT m.date, m.symbol, m.rs, round(100 * CASE WHEN n = 1 THEN 0.5 ELSE (upto - (k + 1) / 2.0) / (n - 1) END, 4) AS rs_pct FROM m JOIN p ON p.date = m.date AND p.rs = m.rs""")
-def relative_strength(spark, root):
-    """Weighted sum of trailing returns as a percentile of the day's symbols."""
-    parts = [w * S.pct_change("close", n) for w, n in ((0.4, 21), (0.2, 42), (0.2, 63), (0.2, 84))]
+SELECT m.date, m.symbol, m.rs, round(100 * CASE WHEN n = 1 THEN 0.5 ELSE (upto - (k + 1) / 2.0) / (n - 1) END, 4) AS rs_pct FROM m JOIN p ON p.date = m.date AND p.rs = m.rs"""
+
+
+_WEIGHTS = (0.4, 0.2, 0.2, 0.2)
+_QUARTERS, _MONTHS = (63, 126, 189, 252), (21, 42, 63, 84)
+
+
+def _strength(spark, root, lags: tuple[int, ...]) -> DataFrame:
+    parts = [w * S.pct_change("close", n) for w, n in zip(_WEIGHTS, lags)]
     t = clean_bars(spark, root).select("date", "symbol", r6(parts[0] + parts[1] + parts[2] + parts[3], "rs")).where("rs IS NOT NULL")
     return S.percentile_rank(t, "rs", ["date"], "p").select("date", "symbol", "rs", F.round(100 * F.col("p"), 4).alias("rs_pct"))
 
 
+@query("relative_strength", _strength_sql(_QUARTERS))
+def relative_strength(spark, root):
+    """Weighted sum of the returns over one to four quarters as a percentile of the day's symbols; 253 bars are needed."""
+    return _strength(spark, root, _QUARTERS)
+
+
+@query("relative_strength_monthly", _strength_sql(_MONTHS))
+def relative_strength_monthly(spark, root):
+    """The same over one to four months."""
+    return _strength(spark, root, _MONTHS)
+
+
 def _recursion(step: str, first: str, tables: str, columns: str) -> str:
     return f"""WITH RECURSIVE {BASE}{tables}, rec AS (SELECT {first} FROM x WHERE rn = 1 UNION ALL SELECT {step} FROM rec JOIN x ON x.symbol = rec.symbol AND x.rn = rec.rn + 1) SELECT {columns} FROM rec"""
 

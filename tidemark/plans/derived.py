@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exact, stats
-from ..operators import asof
+from ..operators import asof, quantiles
 from ..operators import series as S
 from ..sources.tables import table
 from .daily import _ORD, _ROWS, BASE, clean_bars, r6
@@ -49,10 +49,14 @@ def _levels(spark, root) -> DataFrame:
 def level_statistics(spark, root):
     """Outcomes per level, with the number of separate episodes behind them."""
     t = _levels(spark, root).where("r5 IS NOT NULL")
-    return t.groupBy("level").agg(
-        F.count("r5").alias("n"), F.count_distinct(F.concat("symbol", F.lit("/"), F.col("episode").cast("string"))).alias("n_episodes"),
-        r6(F.avg("r5"), "mean_r5"), F.round(F.median("r5"), 7).alias("median_r5"), r6(F.avg((F.col("r5") > 0).cast("double")), "positive"), F.min("r5").alias("worst"),
+    # An episode is counted at its first row, so the count needs no second distinct.
+    a = t.groupBy("level", "symbol", "episode").agg(
+        F.count("*").alias("n"), F.sum("r5").alias("total"), F.count_if(F.col("r5") > 0).alias("up"), F.min("r5").alias("worst")
+    ).groupBy("level").agg(
+        F.sum("n").alias("n"), F.count("*").alias("n_episodes"), r6(F.sum("total") / F.sum("n"), "mean_r5"), r6(F.sum("up") / F.sum("n"), "positive"), F.min("worst").alias("worst")
     )
+    q = quantiles.exact_quantiles(t, ["level"], "r5", [0.5]).select("level", F.round(F.col("quantiles")[0], 7).alias("median_r5"))
+    return a.join(q, "level").select("level", "n", "n_episodes", "mean_r5", "median_r5", "positive", "worst")
 
 
 @query("level_flow_pivot", f"WITH {_LEVEL} SELECT level, count(r20) FILTER (WHERE flow = 'rising') AS rising_n, round(avg(r20) FILTER (WHERE flow = 'rising'), 6) AS rising_mean, count(r20) FILTER (WHERE flow = 'falling') AS falling_n, round(avg(r20) FILTER (WHERE flow = 'falling'), 6) AS falling_mean FROM e GROUP BY level")
@@ -124,11 +128,20 @@ SELECT strategy_key, CAST(max(n) AS BIGINT) AS longest, min(total) AS worst FROM
 def loss_streaks(spark, root):
     """Longest run of losses per strategy and the worst total of one."""
     d = outcomes(spark, root).select("strategy_key", "as_of", "symbol", "run_id", "r").distinct()
-    w = Window.partitionBy("strategy_key").orderBy("as_of", "symbol", "run_id").rowsBetween(Window.unboundedPreceding, 0)
-    lost = (F.col("r") < 0).cast("int")
-    t = d.withColumn("lost", lost).withColumn("island", F.sum(1 - lost).over(w))
-    s = t.groupBy("strategy_key", "island").agg(F.sum("lost").alias("n"), F.round(F.sum(F.when(F.col("lost") == 1, F.col("r"))), 5).alias("total"))
-    return s.groupBy("strategy_key").agg(F.max("n").alias("longest"), F.min("total").alias("worst"))
+    # Within a day first: runs inside it, the losses before its first win and after its last one. Then over the days, of which there are as many
+    # as the calendar has, whatever the number of outcomes.
+    day = Window.partitionBy("strategy_key", "as_of").orderBy("symbol", "run_id").rowsBetween(Window.unboundedPreceding, 0)
+    lost = (F.col("r") < 0).cast("long")
+    t = d.withColumn("lost", lost).withColumn("island", F.sum(1 - lost).over(day))
+    s = t.groupBy("strategy_key", "as_of", "island").agg(F.sum("lost").alias("n"), F.coalesce(F.sum(F.when(F.col("lost") == 1, F.col("r"))), F.lit(0.0)).alias("total"))
+    ends = s.withColumn("last", F.max("island").over(Window.partitionBy("strategy_key", "as_of")))
+    days = Window.partitionBy("strategy_key").orderBy("as_of", "island").rowsBetween(Window.unboundedPreceding, 0)
+    # Only a day's first and last runs may go on beyond it; a first run (island 0) joins the one before.
+    edge = ends.where("island = 0 OR island = last").withColumn("run", F.sum((F.col("island") > 0).cast("long")).over(days))
+    joined = edge.groupBy("strategy_key", "run").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    inside = ends.where("island > 0 AND island < last").groupBy("strategy_key").agg(F.max("n").alias("n"), F.min("total").alias("total"))
+    every = joined.select("strategy_key", "n", "total").unionByName(inside).withColumn("total", F.when(F.col("n") > 0, F.round("total", 5)))
+    return every.groupBy("strategy_key").agg(F.max("n").alias("longest"), F.min("total").alias("worst"))
 
 
 @query("split_adjusted", f"""WITH {BASE}, t AS (SELECT symbol, date, close, open / lag(close) {_ORD} AS jump FROM b), f AS (SELECT *, CASE WHEN jump < 0.6 OR jump > 1.6 THEN ln(jump) ELSE 0.0 END AS l FROM t)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.text import blank_to_null, spelling_key
-from ..operators import asof, dedupe, sampling
+from ..operators import asof, dedupe, quantiles, sampling
 from ..operators import series as S
 from ..sources.tables import table
 from .daily import BASE, clean_bars, r6
@@ -65,8 +65,10 @@ def best_signals(spark, root) -> DataFrame:
 
 
 def outcomes(spark, root) -> DataFrame:
-    f = clean_bars(spark, root).select("symbol", F.col("date").alias("as_of"), F.round(100 * S.forward_return("close", 5), 6).alias("r"))
     v = verdicts(spark, root).select("run_id", "symbol", "as_of", "strategy_key", "recommendation")
+    # Only the symbols that have verdicts go through the window.
+    bars = clean_bars(spark, root).join(v.select("symbol").distinct(), "symbol", "left_semi")
+    f = bars.select("symbol", F.col("date").alias("as_of"), F.round(100 * S.forward_return("close", 5), 6).alias("r"))
     return v.join(f.where("r IS NOT NULL"), ["symbol", "as_of"])
 
 
@@ -226,17 +228,36 @@ def drop_contested_runs(spark, root):
     return r.join(a, "run_date").where("n = 1 OR started_at = last").select("run_id", "run_date")
 
 
-@query("stale_runs", "SELECT run_id, count(*) AS deliveries, count(DISTINCT status) AS n_states, max(completed_at) IS NULL AS open FROM runs GROUP BY run_id")
+@query("stale_runs", f"""WITH {RUN}, c AS (SELECT max(started_at) - INTERVAL 24 HOUR AS cutoff FROM run)
+SELECT run_id, status, CASE WHEN completed_at IS NULL AND started_at < cutoff THEN 'failed' ELSE status END AS swept FROM run, c""")
 def stale_runs(spark, root):
+    """Runs in their last state; those that have not ended a day before the newest start are swept to ``failed``."""
+    r = last_runs(spark, root)
+    cutoff = r.agg((F.max("started_at") - F.expr("INTERVAL 24 HOURS")).alias("cutoff"))
+    stale = F.col("completed_at").isNull() & (F.col("started_at") < F.col("cutoff"))
+    return r.crossJoin(F.broadcast(cutoff)).select("run_id", "status", F.when(stale, "failed").otherwise(F.col("status")).alias("swept"))
+
+
+_LATER = "completed_at DESC NULLS LAST, started_at DESC NULLS LAST, status DESC NULLS LAST"
+
+
+@query("run_deliveries", "SELECT run_id, count(*) AS deliveries, count(DISTINCT status) AS n_states, max(completed_at) IS NULL AS open FROM runs GROUP BY run_id")
+def run_deliveries(spark, root):
     r = table(spark, root, "runs", ["run_id", "status", "completed_at"])
     return r.groupBy("run_id").agg(F.count("*").alias("deliveries"), F.count_distinct("status").alias("n_states"), F.max("completed_at").isNull().alias("open"))
 
 
-@query("fetch_log_coalesce_merge", "SELECT run_id, strftime(max(completed_at), '%Y-%m-%d %H:%M:%S') AS completed_at, max(error_summary) AS error_summary, count(*) AS n FROM runs GROUP BY run_id")
+@query("fetch_log_coalesce_merge", f"""SELECT run_id, strftime(max(completed_at), '%Y-%m-%d %H:%M:%S') AS completed_at, first(status ORDER BY {_LATER}) AS status,
+ first(error_summary ORDER BY {_LATER}, error_summary DESC) FILTER (WHERE error_summary IS NOT NULL) AS error_summary, first(report_path ORDER BY {_LATER}, report_path DESC) FILTER (WHERE report_path IS NOT NULL) AS report_path, count(*) AS n FROM runs GROUP BY run_id""")
 def fetch_log_coalesce_merge(spark, root):
-    """Later deliveries update a row but a null never replaces what was known."""
-    r = table(spark, root, "runs", ["run_id", "completed_at", "error_summary"])
-    return r.groupBy("run_id").agg(F.date_format(F.max("completed_at"), "yyyy-MM-dd HH:mm:ss").alias("completed_at"), F.max("error_summary").alias("error_summary"), F.count("*").alias("n"))
+    """Later deliveries update a row, but a null never replaces what was known: of each column the last delivery that has a value counts."""
+    r = table(spark, root, "runs", ["run_id", "started_at", "completed_at", "status", "error_summary", "report_path"])
+    when = ["completed_at", "started_at", "status"]
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(*when, c)))[c].alias(c)
+    return r.groupBy("run_id").agg(
+        F.date_format(F.max("completed_at"), "yyyy-MM-dd HH:mm:ss").alias("completed_at"), F.max(F.struct(*when))["status"].alias("status"),
+        last("error_summary"), last("report_path"), F.count("*").alias("n"),
+    )
 
 
 @query("signal_min_max_argmin", f"WITH {SIG} SELECT run_date, strategy_key, count(*) AS n, min(strength) AS lo, max(strength) AS hi, first(symbol ORDER BY strength, symbol, signal_name) AS weakest FROM sig GROUP BY ALL")
@@ -331,15 +352,16 @@ def severe_misses(spark, root):
 SELECT strategy_key, count(*) AS n, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(sum(r) FILTER (WHERE r > 0) / nullif(-sum(r) FILTER (WHERE r < 0), 0), 5) AS profit_factor, round(avg(r), 5) AS expectancy,
  round(quantile_cont(r, 0.25), 8) AS q1, round(quantile_cont(r, 0.5), 8) AS q2, round(quantile_cont(r, 0.75), 8) AS q3 FROM p GROUP BY strategy_key""")
 def outcome_metrics(spark, root):
-    """Win rate, profit factor, expectancy and linear quartiles per strategy. Exact percentiles merge per-value counts, they don't gather rows."""
+    """Win rate, profit factor, expectancy and linear quartiles per strategy."""
     p = outcomes(spark, root).where("recommendation = 'proceed'")
     loss = -F.sum(F.when(F.col("r") < 0, F.col("r")))
-    q = F.percentile("r", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     t = p.groupBy("strategy_key").agg(
         F.count("*").alias("n"), r6(F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)), "win_rate"),
-        F.round(F.when(loss != 0, F.sum(F.when(F.col("r") > 0, F.col("r"))) / loss), 5).alias("profit_factor"), F.round(F.avg("r"), 5).alias("expectancy"), q.alias("q"),
+        F.round(F.when(loss != 0, F.sum(F.when(F.col("r") > 0, F.col("r"))) / loss), 5).alias("profit_factor"), F.round(F.avg("r"), 5).alias("expectancy"),
     )
-    return t.select("strategy_key", "n", "win_rate", "profit_factor", "expectancy", *[F.round(F.col("q")[k], 8).alias(f"q{k + 1}") for k in range(3)])
+    q = quantiles.exact_quantiles(p, ["strategy_key"], "r", [0.25, 0.5, 0.75]).drop("n").withColumnRenamed("strategy_key", "key")
+    t = t.join(q, F.col("key").eqNullSafe(F.col("strategy_key")))
+    return t.select("strategy_key", "n", "win_rate", "profit_factor", "expectancy", *[F.round(F.col("quantiles")[k], 8).alias(f"q{k + 1}") for k in range(3)])
 
 
 @query("verdict_mix", f"""WITH {VER}, v AS (SELECT DISTINCT run_id, symbol, recommendation, no_trade FROM ver) SELECT recommendation, count(*) AS n, count(DISTINCT run_id) AS n_runs, count(*) FILTER (WHERE no_trade) AS n_no_trade FROM v GROUP BY recommendation""")

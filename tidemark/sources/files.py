@@ -62,19 +62,31 @@ def read_jdbc(spark: SparkSession, url: str, query: str, column: str, lower: int
     )
 
 
+def _is_a(plan, kinds: list) -> bool:
+    children = plan.children()
+    return any(k.isInstance(plan) for k in kinds) or any(_is_a(children.apply(i), kinds) for i in range(children.size()))
+
+
 def read_only_sql(spark: SparkSession, text: str, views: dict[str, DataFrame]) -> DataFrame:
-    """A SELECT over named frames. Statements that would change anything are refused before they run.
+    """A SELECT over named frames. Statements that would change anything are refused before they run: a plan that is or holds a command
+    or a statement that is no query.
 
-    The views carry a prefix of their own while the statement is analysed, and are dropped again.
+    The names stand for the frames while the statement is analysed. Temporary views of the caller that have such a name are put back afterwards.
     """
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    name = plan.getClass().getSimpleName()
-    if any(x in name for x in ("Command", "Insert", "Create", "Drop", "Alter", "Delete", "Update", "Merge", "Replace", "Truncate", "Set")):
-        raise PermissionError(f"not a query: {name}")
+    logical = "org.apache.spark.sql.catalyst.plans.logical"
+    load = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass
+    if _is_a(plan, [load(f"{logical}.Command"), load(f"{logical}.ParsedStatement")]):
+        raise PermissionError(f"not a query: {plan.getClass().getSimpleName()}")
+    own = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    before = {n: spark.table(n) for n in views if n in own}
     for n, df in views.items():
         df.createOrReplaceTempView(n)
     try:
         return spark.sql(text)
     finally:
         for n in views:
-            spark.catalog.dropTempView(n)
+            if n in before:
+                before[n].createOrReplaceTempView(n)
+            else:
+                spark.catalog.dropTempView(n)

@@ -33,15 +33,24 @@ def _exists(df: DataFrame, path: str) -> bool:
 
 
 def _swap(df: DataFrame, staged: str, path: str, parts: list[str]) -> None:
-    """Moves the staged partition folders over the old ones, each by one rename."""
+    """Moves the staged partition folders over the old ones. An old one is renamed aside first and deleted when the new one is in its
+    place; if that fails, it is renamed back. So at no time is a partition without its old or its new rows on disk."""
     spark = df.sparkSession
     P = spark._jvm.org.apache.hadoop.fs.Path
     fs = P(path).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(P(path))
+    aside = f"{staged}_old"
+    fs.mkdirs(P(aside))
     for part in parts:
-        fs.delete(P(f"{path}/{part}"), True)
-        if fs.exists(P(f"{staged}/{part}")) and not fs.rename(P(f"{staged}/{part}"), P(f"{path}/{part}")):
+        old, new, kept = P(f"{path}/{part}"), P(f"{staged}/{part}"), P(f"{aside}/{part}")
+        had = fs.exists(old)
+        if had and not fs.rename(old, kept):
+            raise OSError(f"cannot move {part} aside")
+        if fs.exists(new) and not fs.rename(new, old):
+            if had:
+                fs.rename(kept, old)
             raise OSError(f"cannot move {part}")
+    fs.delete(P(aside), True)
     fs.delete(P(staged), True)
 
 
@@ -49,19 +58,23 @@ def upsert_partitioned(batch: DataFrame, path: str, keys: list[str], order: list
     """Merges a batch into a Parquet folder partitioned by ``part``; per key the row of greatest ``order`` stays.
 
     Only the partitions that the batch touches are read and rewritten. They are written beside the folder and swapped in at the
-    end, so a job that fails leaves the old ones. Returns the partitions written. The list of touched partitions, one per
+    end, so a job that fails leaves the old ones. A batch with a null in ``part`` is refused as a whole. Returns the partitions written. The list of touched partitions, one per
     distinct value of ``part`` in the batch, goes to the driver.
     """
-    values = sorted(r[0] for r in batch.select(part).where(F.col(part).isNotNull()).distinct().collect())
+    found = [r[0] for r in batch.select(part).distinct().collect()]
+    if None in found:
+        raise ValueError(f"rows without a {part}")
+    values = sorted(found)
     if not values:
         return []
-    merged = batch.where(F.col(part).isNotNull())
+    merged = batch
     if _exists(batch, path):
         old = batch.sparkSession.read.schema(batch.schema).parquet(path).where(F.col(part).isin(values))
         merged = old.select(*batch.columns).unionByName(merged)
     merged = keep_last(merged, [*keys, part] if part not in keys else keys, order).select(*batch.columns)
     staged = f"{path.rstrip('/')}__staged_{uuid.uuid4().hex}"
-    merged.repartition(part).sortWithinPartitions(*keys).write.partitionBy(part).parquet(staged)
+    # A partition's rows are spread by key, so that a large one is no single task.
+    merged.repartition(part, *keys).sortWithinPartitions(part, *keys).write.partitionBy(part).parquet(staged)
     names = [f"{part}={v}" for v in values]
     _swap(batch, staged, path, names)
     return names
