@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import corpus_core, daily, derived, ledger, texts
+from . import corpus_core, daily, derived, ledger, selection, texts, tracking
 
 #: Columns of days (or, for ``window_start``, times) in the results of queries with SQL twins.
 DAYS: dict[str, tuple[str, ...]] = {
@@ -60,7 +60,7 @@ DAYS: dict[str, tuple[str, ...]] = {
     "control_group_union": ("day",),
     "events_windowed": ("window_start",),
 }
-_MODULES = (corpus_core, daily, ledger, derived, texts)
+_MODULES = (corpus_core, daily, ledger, derived, texts, tracking, selection)
 
 
 def _pattern(column: str) -> tuple[str, str]:

@@ -154,7 +154,7 @@ def split_adjusted(spark, root):
     return t.select("symbol", F.date_format("date", "yyyy-MM-dd").alias("day"), "close", F.round(F.col("close") * F.exp(F.sum("l").over(down) - F.col("l")), 4).alias("adjusted"))
 
 
-@query("position_sizes")
+@query("position_sizes", f"WITH {BASE} SELECT symbol, strftime(date, '%Y-%m-%d') AS day, CAST(greatest(0, least(floor(100000.0::DOUBLE * 0.01::DOUBLE / (close - close * 0.92::DOUBLE)), floor(100000.0::DOUBLE * 0.2::DOUBLE / close))) AS BIGINT) AS shares FROM b")
 def position_sizes(spark, root):
     """Shares that a risk budget and a cap allow, floored exactly."""
     t = clean_bars(spark, root).withColumn("stop", F.col("close") * 0.92)

@@ -50,7 +50,8 @@ def mention_count(spark, root):
     return d.select("doc_id", "symbol", F.floor(less / F.length("symbol")).cast("long").alias("n"))
 
 
-@query("word_mentions")
+@query("word_mentions", """WITH d AS (SELECT doc_id, symbol, CASE WHEN length(symbol) > 0 THEN regexp_replace(replace(text, symbol, chr(1)), '([^A-Za-z0-9' || chr(1) || '])', '\\1\\1', 'g') END AS body FROM documents WHERE symbol IS NOT NULL AND text IS NOT NULL)
+SELECT doc_id, symbol, CAST(len(regexp_extract_all(body, '(^|[^A-Za-z0-9' || chr(1) || '])' || chr(1) || '([^A-Za-z0-9' || chr(1) || ']|$)')) AS INTEGER) AS n FROM d""")
 def word_mentions(spark, root):
     """Occurrences of a document's symbol as a word of its own."""
     d = table(spark, root, "documents", ["doc_id", "symbol", "text"]).where("symbol IS NOT NULL AND text IS NOT NULL")
