@@ -12,7 +12,7 @@ pytestmark = pytest.mark.skipif(not (os.path.exists(SOURCE) and os.path.exists(q
 
 def make(folder, kind):
     folder.mkdir()
-    for name in ("documents", "eval_items"):
+    for name in ("documents", "eval_items", "signals"):
         t = pq.read_table(f"{SOURCE}/{name}.parquet")
         nulls = pa.table([pa.nulls(2, f.type) for f in t.schema], schema=t.schema)
         t = {"empty": t.slice(0, 0), "null": nulls, "mixed": pa.concat_tables([t, nulls, t.slice(0, 30)])}[kind]
@@ -29,7 +29,8 @@ def test_empty_null_and_repeated_rows(spark, tmp_path, name):
         assert kind == "null" or not rows
     mixed = queries.QUERIES[name](spark, make(tmp_path / "mixed", "mixed")).collect()
     plain = queries.QUERIES[name](spark, SOURCE).collect()
-    key = lambda rows: {(r.doc_id, r.item_id if "item_id" in r else None) for r in rows if r.doc_id is not None}
+    names = [c for c in ("doc_id", "item_id", "run_day", "strategy_key", "symbol", "signal_name") if c in (plain[0].asDict() if plain else {})]
+    key = lambda rows: {tuple(r[c] for c in names) for r in rows if r[0] is not None}
     assert key(mixed) == key(plain)
     if name.endswith("_found"):
         assert len(mixed) == len(plain)
