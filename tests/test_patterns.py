@@ -2,6 +2,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tidemark.operators import patterns, portfolio, recursive
@@ -74,6 +75,6 @@ def test_simulation_by_hand(spark):
 def test_gap_and_stop():
     bars = pd.DataFrame([("A", DAY(k), o, o, low, c) for k, (o, low, c) in enumerate([(10, 10, 10), (10, 10, 10), (10, 9, 9.5), (8, 8, 8)])], columns=["symbol", "date", "open", "high", "low", "close"])
     orders = pd.DataFrame([("p", DAY(0), "A", 1)], columns=["portfolio", "date", "symbol", "rank"])
-    run = lambda stop: list(portfolio.simulate(orders, bars, portfolio.Rules(cash=100.0, slots=1, stop=stop, hold=9, slip=0.0)))
+    run = lambda stop: list(portfolio.simulate(pa.Table.from_pandas(orders, preserve_index=False), pa.Table.from_pandas(bars, preserve_index=False), portfolio.Rules(cash=100.0, slots=1, stop=stop, hold=9, slip=0.0)))
     assert [(t[2], t[4], t[7]) for t in run(0.08)] == [(DAY(2), pytest.approx(9.2), "stop")]
     assert [(t[2], t[4], t[7]) for t in run(0.15)] == [(DAY(3), 8, "gap_stop")]

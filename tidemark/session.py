@@ -32,15 +32,15 @@ def local_session(cores: int | str = 8, app: str = "tidemark", **extra: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints. The session's spark.checkpoint.dir is taken
-    where it is set; only an unset one (tests on one machine) gets a temporary
-    folder.
-    """
+    """The folder for checkpoints: the session's spark.checkpoint.dir where it is set. Only a session on one machine
+    (tests) may go without; it gets a temporary folder. On a cluster an unset one is refused."""
     from_conf = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
+    if not from_conf and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
     folder = from_conf or tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder

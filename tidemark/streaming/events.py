@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,21 +40,34 @@ def distinct_events(events: DataFrame) -> DataFrame:
 _RUN_OUT = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("streak", T.LongType()), T.StructField("longest", T.LongType())])
 
 
+#: A user whose last event is older than this, against the watermark, is forgotten.
+IDLE_MS = 30 * 24 * 3600 * 1000
+
+
 def _streaks(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     n, streak, longest, last = state.get if state.exists else (0, 0, 0, float("-inf"))
+    newest = 0
     for b in batches:
-        for _, v in b.sort_values(["ts", "event_id"])[["ts", "value"]].itertuples(index=False):
-            n += 1
-            streak = streak + 1 if v > last else 0
-            longest, last = max(longest, streak), float(v)
+        b = b.sort_values(["ts", "event_id"])
+        v = np.r_[last, b["value"].to_numpy(float)]
+        at = np.arange(1, len(v))
+        fall = np.maximum.accumulate(np.where(v[1:] > v[:-1], -streak, at))  # the last row that did not rise; before any, the carried streak
+        run = at - fall
+        n, streak, longest, last = n + len(at), int(run[-1]), max(longest, int(run.max())), float(v[-1])
+        newest = max(newest, int(b["ts"].max().timestamp() * 1000))
     state.update((n, streak, longest, last))
+    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + IDLE_MS)
     yield pd.DataFrame({"user_id": [key[0]], "n": [n], "streak": [streak], "longest": [longest]})
 
 
 def rising_streaks(events: DataFrame) -> DataFrame:
-    """Per user the present and the longest run of rising values, carried from batch to batch."""
+    """Per user the present and the longest run of rising values, carried from batch to batch. Within a batch rows count in the order of time.
+    The state of a user without events for ``IDLE_MS`` of event time is dropped."""
     return events.groupBy("user_id").applyInPandasWithState(
-        _streaks, _RUN_OUT, "n long, streak long, longest long, last double", "update", GroupStateTimeout.NoTimeout
+        _streaks, _RUN_OUT, "n long, streak long, longest long, last double", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
