@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import ship
+
 #: Fixed value: the pattern by which byte-level tokenizers cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Token rows that one recursive query may pile up before it is continued in a further one.
@@ -82,12 +84,13 @@ def merge_table(path: str) -> tuple[np.ndarray, pa.Table]:
 
 
 class Encoder:
-    """Encodes words by recursive queries; remembers the words it has seen."""
+    """Encodes words by recursive queries; remembers the words it has seen. Nothing is spilled to a local disk: a query's rows are
+    bounded by ``ROWS_PER_QUERY``."""
 
     def __init__(self, path: str, pattern: str = PATTERN, memory: str = "400MB") -> None:
         self.byte_ids, merges = merge_table(path)
         self.cut = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "preserve_insertion_order": False, "temp_directory": ""})
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.known: dict[str, np.ndarray] = {}
 
@@ -174,6 +177,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str, chars_at_o
     Scale: no shuffle and nothing on the driver. A text is encoded where it is read; a task
     holds ``chars_at_once`` characters of text (one text at least) and a bounded memory of words.
     """
+    ship(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
