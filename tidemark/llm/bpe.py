@@ -87,7 +87,7 @@ class Encoder:
     """Encodes words by recursive queries; remembers the words it has seen. Nothing is spilled to a local disk: a query's rows are
     bounded by ``ROWS_PER_QUERY``."""
 
-    def __init__(self, path: str, pattern: str = PATTERN, memory: str = "400MB") -> None:
+    def __init__(self, path: str, pattern: str = PATTERN, memory: str = "800MB") -> None:
         self.byte_ids, merges = merge_table(path)
         self.cut = regex.compile(pattern)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "preserve_insertion_order": False, "temp_directory": ""})
