@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import positions, recursive
+from ..operators import positions, recursive, screens
 from ..operators import series as S
 from ..sources.tables import table
 from . import daily
@@ -325,4 +325,25 @@ def grid_best_cell(spark, root):
     return g.select(F.col("bk").alias("k"), F.col("bw").alias("w"), F.col("bg").alias("gap"), "n_near", F.round("m", 5).alias("near_mean"), shape.alias("shape"))
 
 
+FILTERS, SIGNALS = screens.Registry(), screens.Registry()
+_v20 = {"v20": lambda: S.trailing_mean("volume", 20)}
+_m50 = {"m50": lambda: F.round(S.sma("close", 50), 6)}
+FILTERS.add(screens.Rule("liquid", _v20, lambda: F.col("__v20") >= 500_000, 20))
+FILTERS.add(screens.Rule("above_mean", _m50, lambda: F.col("close") > F.col("__m50"), 50))
+SIGNALS.add(screens.Rule("month_up", {"r21": lambda: F.round(S.pct_change("close", 21), 6)}, lambda: F.col("__r21") > 0.05, 22))
+SIGNALS.add(screens.Rule("near_mean", _m50, lambda: F.abs(F.col("close") - F.col("__m50")) / F.col("__m50") <= 0.02, 50))
+TREND = screens.compose("trend", ["liquid", "above_mean"], ["month_up", "near_mean"], FILTERS, SIGNALS)
+
+
+@query("strategy_hits", f"""WITH {BASE}, t AS (SELECT symbol, date, close, CASE WHEN count(*) {_ROWS.format(19)} = 20 THEN avg(volume) {_ROWS.format(19)} END AS v20, CASE WHEN count(close) {_ROWS.format(49)} = 50 THEN round(avg(close) {_ROWS.format(49)}, 6) END AS m50, round(close / lag(close, 21) {_ORD} - 1, 6) AS r21 FROM b),
+k AS (SELECT symbol, date, v20 >= 500000 AS f1, close > m50 AS f2, r21 > 0.05 AS s1, abs(close - m50) / m50 <= 0.02 AS s2 FROM t),
+h AS (SELECT *, CASE WHEN f1 IS NOT TRUE THEN 'liquid' WHEN f2 IS NOT TRUE THEN 'above_mean' END AS rejected_by FROM k)
+SELECT symbol, strftime(date, '%Y-%m-%d') AS day, CASE WHEN rejected_by IS NULL AND (s1 IS TRUE OR s2 IS TRUE) THEN 'hit' WHEN f1 IS NULL OR f2 IS NULL OR s1 IS NULL OR s2 IS NULL THEN 'no_data' WHEN rejected_by IS NOT NULL THEN 'filtered' ELSE 'miss' END AS state, rejected_by,
+ CASE WHEN rejected_by IS NULL THEN concat_ws(',', CASE WHEN s1 THEN 'month_up' END, CASE WHEN s2 THEN 'near_mean' END) ELSE '' END AS signals FROM h""")
+def strategy_hits(spark, root):
+    """A strategy composed of registered filters and signals, over every bar."""
+    t = screens.screen(clean_bars(spark, root), TREND)
+    return t.select("symbol", day("date").alias("day"), "state", "rejected_by", F.array_join("signals", ",").alias("signals"))
+
+
 QUERIES = Q
