@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..operators import nested
 from ..sources.tables import table
 from .corpus_core import _TREE, _p2_sources, p3_reasons
+from . import daily
 from .daily import _ORD, BASE, clean_bars, r6
+from .derived import _LEVEL, _levels
 from .ledger import FIL, RUN, filings, last_runs
 from .tracking import _MARKS, _marks, _tracked, day
 
@@ -233,6 +235,57 @@ def config_digests(spark, root):
     return c.select("config_hash", F.sha2(F.concat_ws("|", "config_hash", F.coalesce("snapshot_hash", F.lit("")), F.coalesce(day("first_seen_run_date"), F.lit(""))), 256).alias("digest"))
 
 
+_REASONS = ("liquid", "above_mean", "mean_rising", "month_up", "passed")
+
+
+@query("entry_blocks", f"""WITH f AS ({daily.SQL['first_rejection']}), r AS (SELECT unnest({list(_REASONS)}) AS reason UNION SELECT reason FROM f)
+SELECT r.reason, CAST(coalesce(sum(f.n), 0) AS BIGINT) AS n, count(DISTINCT f.date) AS n_days FROM r LEFT JOIN f ON f.reason = r.reason GROUP BY r.reason""")
+def entry_blocks(spark, root):
+    """How often each reason blocks, those that never do included, and on how many days."""
+    f = daily.Q["first_rejection"](spark, root)
+    every = spark.range(1).select(F.explode(F.array(*map(F.lit, _REASONS))).alias("reason"))
+    # One zero row a reason, so that the aggregate needs no join.
+    t = f.select("reason", "n", "date").unionByName(every.select("reason", F.lit(0).cast("long").alias("n"), F.lit(None).cast("date").alias("date")))
+    return t.groupBy("reason").agg(F.sum("n").alias("n"), F.count_distinct("date").alias("n_days"))
+
+
+@query("newest_events", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, event_type FROM events WHERE ts IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 20")
+def newest_events(spark, root):
+    """The twenty newest entries of a calendar of events."""
+    e = table(spark, root, "events", ["event_id", "ts", "event_type"]).where("ts IS NOT NULL").orderBy(F.desc("ts"), F.desc("event_id")).limit(20)
+    return e.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "event_type")
+
+
+_LOST = ("[... omitted", "[truncated", "(continued)", "...")
+
+
+@query("loss_markers", "SELECT source, count(*) AS n, count(*) FILTER (WHERE " + " OR ".join(f"contains(text, '{m}')" for m in _LOST) + ") AS n_cut FROM documents WHERE text IS NOT NULL GROUP BY source")
+def loss_markers(spark, root):
+    """Texts that carry a mark of something left out, by source."""
+    d = table(spark, root, "documents", ["source", "text"]).where("text IS NOT NULL")
+    hit = F.lit(False)
+    for m in _LOST:
+        hit = hit | F.contains("text", F.lit(m))
+    return d.groupBy("source").agg(F.count("*").alias("n"), F.count_if(hit).alias("n_cut"))
+
+
+@query("positions_in_order", f"WITH {_MARKS} SELECT run_id, symbol, row_number() OVER (PARTITION BY symbol ORDER BY reason IS NULL DESC, as_of DESC, run_id) AS place, coalesce(reason, 'open') AS status FROM tp")
+def positions_in_order(spark, root):
+    """A symbol's positions as they are shown: the open ones first, the newest first."""
+    v = table(spark, root, "verdicts", ["run_id", "symbol", "as_of"]).distinct()
+    t = _tracked(spark, root).join(v, ["run_id", "symbol"])
+    w = Window.partitionBy("symbol").orderBy(F.desc(F.col("reason").isNull()), F.desc("as_of"), "run_id")
+    return t.select("run_id", "symbol", F.row_number().over(w).alias("place"), F.coalesce("reason", F.lit("open")).alias("status"))
+
+
+@query("level_shares", f"WITH {_LEVEL}, a AS (SELECT level, count(*) AS n, count(DISTINCT date) AS n_days, count(DISTINCT symbol) AS n_symbols, min(r20) AS worst_20, max(r20) AS best_20 FROM e GROUP BY level) SELECT level, n, round(n::DOUBLE / sum(n) OVER (), 6) AS share, n_days, n_symbols, worst_20, best_20 FROM a")
+def level_shares(spark, root):
+    """Rows, share, days and symbols of each level and the extremes that followed. The share is taken over one row per level."""
+    a = _levels(spark, root).groupBy("level").agg(
+        F.count("*").alias("n"), F.count_distinct("date").alias("n_days"), F.count_distinct("symbol").alias("n_symbols"), F.min("r20").alias("worst_20"), F.max("r20").alias("best_20"))
+    return a.select("level", "n", r6(F.col("n") / F.sum("n").over(Window.partitionBy()), "share"), "n_days", "n_symbols", "worst_20", "best_20")
+
+
 # The part of problem 3 that SQL can say --------------------------------------------------------------------------------------
 
 
