@@ -1,6 +1,12 @@
 import json
+import os
+
+import pytest
 
 from tidemark.operators import nested
+from tidemark.plans.corpus_core import p2_found
+
+ROOT = os.environ.get("TIDEMARK_TEST_DATA", "/root/testdata/sf0.001")
 
 DOCS = {
     "plain": [{"text": "a", "evidence": [{"id": "x", "quotes": [{"s": 0}, {"s": None}]}, {"id": "y"}], "counter": {"points": [{"t": 1}], "open": []}}],
@@ -121,3 +127,49 @@ def test_members_that_are_data_become_a_map(spark, monkeypatch):
         count[r.table_name] = count.get(r.table_name, 0) + 1
     assert count == {"$": 20, "by_id.*": 200, "xs": 200}
     assert {r.columns["v"] for r in rows if r.table_name == "by_id.*"} == {str(j) for j in range(10)}
+
+
+def test_found_objects_are_rows_of_the_related_tables(spark, monkeypatch):
+    graphs = []
+    analyse = nested.analyse
+    monkeypatch.setattr(nested, "analyse", lambda df, column: graphs.append(column) or analyse(df, column))
+    docs = DOCS | {"shared": {"list": [{"one": {"part": {"n": [{"x": 1}]}, "two": {"part": {"n": [5, [{}]]}}}}]}, "long": [{"a": {"b": k}} for k in range(60_001)]}
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in docs.items()], "key string, doc string")
+    rows = {(r.doc_id, r.path): r for r in nested.shred(df, "t", "key", "doc").collect()}
+    assert graphs == ["doc"] and {"part", "$"} <= {r.parent_table for r in rows.values()}
+
+    def case(r):
+        return r.is_object and r.in_array
+
+    def up(r):
+        above = rows[r.doc_id, r.parent_path]
+        return above.path if case(above) or not above.path else up(above)
+
+    want = sorted(("t", r.root_key, r.path, up(r)) for r in rows.values() if case(r))
+    assert sorted(map(tuple, nested.nested_objects(df, "t", "key", "doc").collect())) == want
+    assert graphs == ["doc"] * 2
+    assert [(k, *x) for k, v in sorted(docs.items()) for x in sorted(brute(v))] == [x[1:] for x in want]
+
+
+@pytest.mark.skipif(not os.path.exists(ROOT), reason="no test tables")
+def test_p2_found_goes_through_three_graphs(spark, monkeypatch):
+    graphs = []
+    analyse = nested.analyse
+    monkeypatch.setattr(nested, "analyse", lambda df, column: graphs.append(column) or analyse(df, column))
+    assert p2_found(spark, ROOT).columns == ["root_table", "root_key", "path", "parent_path"]
+    assert graphs == ["reasons_json", "metadata_json", "sections_json"]
+
+
+@pytest.mark.parametrize("passes", [2, 12])
+def test_no_graph_is_refused(spark, monkeypatch, passes):
+    monkeypatch.setattr(nested, "MAX_EDGES", 30)
+    monkeypatch.setattr(nested, "MAX_PASSES", passes)
+    docs = {f"d{k}": {f"a{k}": {f"b{k}_{j}": {"xs": [{"n": j, f"c{k}": [{}]}, [{f"e{j}": {f"f{k}": 1}}]]} for j in range(3)}, "v": k} for k in range(20)}
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in docs.items()], "key string, doc string")
+    plan = nested.analyse(df, "doc")
+    assert isinstance(plan.maps, nested._Every) if passes == 2 else plan.maps
+    rows = nested.shred(df, "t", "key", "doc", plan).collect()
+    keys = {(r.doc_id, r.path) for r in rows}
+    assert len(keys) == len(rows) and all((r.doc_id, r.parent_path) in keys and r.table_name in plan.tables for r in rows)
+    assert sum(len(r.columns) for r in rows) == 20 * (1 + 3 * 2)
+    assert found(spark, docs={k: json.dumps(v) for k, v in docs.items()}) == {k: brute(v) for k, v in docs.items()}

@@ -6,6 +6,7 @@ import json
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,16 +15,18 @@ from pyspark.sql import functions as F
 from ..sources.tables import ship
 
 #: Distinct (element, member) edges of a schema graph that reach the driver. Where there are more, elements of more than
-#: ``MAX_MEMBERS`` members are maps: their members are data, not a schema, and share one element, ``<map>.*``.
+#: ``MAX_MEMBERS`` members are maps: their members are data, not a schema, and share one element, ``<map>.*``. If there are
+#: no such elements, the widest ones are; after ``MAX_PASSES`` passes over the column every element is.
 MAX_EDGES = 200_000
 MAX_MEMBERS = 1_000
+MAX_PASSES = 12
+
+#: Rows, and characters of their paths, that leave Python in one batch.
+_ROWS, _CHARACTERS = 50_000, 16_000_000
 
 _EDGE = pa.schema([("parent", pa.string()), ("member", pa.string()), ("kind", pa.string())])
 _ROW = pa.schema(
     [
-        ("root_table", pa.string()),
-        ("root_key", pa.string()),
-        ("doc_id", pa.string()),
         ("table_name", pa.string()),
         ("path", pa.string()),
         ("parent_path", pa.string()),
@@ -132,25 +135,59 @@ def _deep(text: str):
                 raise ValueError("comma expected")
 
 
-def _edges(value, maps: frozenset[str] = frozenset()) -> Iterator[tuple[str, str, str]]:
+class _Every(frozenset):
+    """All elements are maps and share one element."""
+
+    def __contains__(self, name: object) -> bool:
+        return True
+
+
+def _map_part(name: str, maps: frozenset[str]) -> str:
+    """The element of a map's members."""
+    return f"{ROOT}.*" if isinstance(maps, _Every) else name + ".*"
+
+
+def _edges(value, maps: frozenset[str] = frozenset(), seen: dict[str, tuple[set[str], ...]] | None = None) -> Iterator[tuple[str, str, str]]:
     """(element, member, kind) edges of one document. An element is named by the member
     that holds it; the parts of an array are elements of the array's name. ``*``
-    marks a repeated child, ``1`` a singleton object, ``=`` a scalar."""
+    marks a repeated child, ``1`` a singleton object, ``=`` a scalar. Edges in ``seen`` (members by element and kind) are left
+    out, the others are added to it."""
+    seen = defaultdict(_kinds) if seen is None else seen
     stack = [(ROOT, value)]
     while stack:
         name, v = stack.pop()
+        objects, arrays, scalars, parts = seen[name]
         if isinstance(v, dict):
+            part = _map_part(name, maps) if name in maps else None
             for m, x in v.items():
-                if name in maps:
-                    m = name + ".*"
-                yield name, m, "*" if isinstance(x, list) or (name in maps and isinstance(x, dict)) else "1" if isinstance(x, dict) else "="
-                if isinstance(x, (dict, list)):
+                if part is not None:
+                    m = part
+                if isinstance(x, dict):
                     stack.append((m, x))
+                    if m not in objects:
+                        objects.add(m)
+                        yield name, m, "1" if part is None else "*"
+                elif isinstance(x, list):
+                    stack.append((m, x))
+                    if m not in arrays:
+                        arrays.add(m)
+                        yield name, m, "*"
+                elif m not in scalars:
+                    scalars.add(m)
+                    yield name, m, "="
         elif isinstance(v, list):
             for x in v:
-                yield name, name, "[" if isinstance(x, list) else "*{" if isinstance(x, dict) else "*="
-                if isinstance(x, (dict, list)):
+                kind = "[" if isinstance(x, list) else "*{" if isinstance(x, dict) else "*="
+                if kind != "*=":
                     stack.append((name, x))
+                if kind not in parts:
+                    parts.add(kind)
+                    yield name, name, kind
+
+
+def _kinds() -> tuple[set[str], set[str], set[str], set[str]]:
+    """Members that are objects, arrays and scalars, and kinds of parts."""
+    return set(), set(), set(), set()
 
 
 @dataclass
@@ -235,7 +272,7 @@ def _scalar(v) -> str | None:
 
 
 def shred_document(value, inlining: Inlining) -> Iterator[tuple]:
-    """The rows of one document, in the order of ``_ROW`` from ``table_name`` on.
+    """The rows of one document, with the columns of ``_ROW``, in no order.
 
     ``parent_path`` and ``parent_table`` are the foreign key to the row that the
     element hangs on; the root row has the path ''. ``object_path`` is the path of the
@@ -243,54 +280,55 @@ def shred_document(value, inlining: Inlining) -> Iterator[tuple]:
     """
     if value is None:
         return
+    tables, maps = inlining.tables, inlining.maps
     # path, parent path, parent table, nearest object in an array, element, member, ordinal, in an array, value
     stack = [("", "", "", "", ROOT, ROOT, 0, False, value)]
     while stack:
         path, ppath, ptable, near, element, member, ordinal, in_array, v = stack.pop()
         columns: dict[str, str | None] = {}
-        inner: list[tuple] = []
-        below = path if in_array and isinstance(v, dict) else near
-
-        def parts(where: str, name: str, member: str, array: list) -> None:
-            for i, x in enumerate(array):
-                inner.append((f"{where}[{i}]", path, element, below, name, member, i, True, x))
-
-        if isinstance(v, dict):
+        is_object = isinstance(v, dict)
+        below = path if in_array and is_object else near
+        arrays: list[tuple[str, str, str, list]] = []
+        if is_object:
             todo = [("", path, element, v)]
             while todo:
                 prefix, at, of, obj = todo.pop()
+                part = _map_part(of, maps) if of in maps else None
+                dot = at + "." if at else ""
                 for m, x in obj.items():
-                    where = f"{at}.{m}" if at else m
-                    name = of + ".*" if of in inlining.maps else m
-                    if isinstance(x, list):
-                        parts(where, name, prefix + m, x)
-                    elif isinstance(x, dict) and name in inlining.tables:
-                        inner.append((where, path, element, below, name, prefix + m, 0, False, x))
-                    elif isinstance(x, dict):
-                        todo.append((prefix + m + ".", where, name, x))
-                    else:
+                    if isinstance(x, str):
+                        columns[prefix + m] = x
+                    elif isinstance(x, list):
+                        if x:
+                            arrays.append((dot + m, part or m, prefix + m, x))
+                    elif not isinstance(x, dict):
                         columns[prefix + m] = _scalar(x)
+                    elif (name := part or m) in tables:
+                        stack.append((dot + m, path, element, below, name, prefix + m, 0, False, x))
+                    else:
+                        todo.append((prefix + m + ".", dot + m, name, x))
         elif isinstance(v, list):
-            parts(path, element, "", v)
+            arrays.append((path, element, "", v))
         else:
             columns["value"] = _scalar(v)
-        yield element, path, ppath, ptable, member, ordinal, isinstance(v, dict), in_array, near, list(columns.items())
-        stack.extend(reversed(inner))
+        yield element, path, ppath, ptable, member, ordinal, is_object, in_array, near, columns
+        for where, name, m, array in arrays:
+            for i, x in enumerate(array):
+                if isinstance(x, (dict, list)):
+                    stack.append((f"{where}[{i}]", path, element, below, name, m, i, True, x))
+                else:
+                    yield name, f"{where}[{i}]", path, element, m, i, False, True, below, {"value": _scalar(x)}
 
 
 def schema_graph(df: DataFrame, column: str, maps: frozenset[str] = frozenset()) -> DataFrame:
     """Distinct (parent, member, kind) edges of all documents of a column."""
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, str, str]] = set()
+        seen: dict[str, tuple[set[str], ...]] = defaultdict(_kinds)
         for b in batches:
-            new = {}
-            for text in b.column(0).to_pylist():
-                for e in _edges(read_document(text), maps):
-                    if e not in seen:
-                        new[e] = None
-                        if len(seen) < MAX_EDGES:
-                            seen.add(e)
+            new = [e for text in b.column(0).to_pylist() for e in _edges(read_document(text), maps, seen)]
+            if sum(map(len, chain.from_iterable(seen.values()))) > MAX_EDGES:
+                seen.clear()
             if new:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_sound(y) for y in x], pa.string()) for x in zip(*new)], schema=_EDGE
@@ -301,20 +339,20 @@ def schema_graph(df: DataFrame, column: str, maps: frozenset[str] = frozenset())
 
 def analyse(df: DataFrame, column: str) -> Inlining:
     """The inlining of a column's schema graph. At most ``MAX_EDGES`` distinct edges reach the driver. A larger graph is
-    gone over again with its widest elements as maps, level by level; one of more edges without an element wider
-    than ``MAX_MEMBERS`` is refused."""
+    gone over again with its widest elements as maps, level by level, and at last with all of them; none is refused."""
     ship(df.sparkSession)
     maps: frozenset[str] = frozenset()
-    while True:
+    for left in reversed(range(MAX_PASSES)):
         graph = schema_graph(df, column, maps)
         rows = graph.limit(MAX_EDGES + 1).collect()
         if len(rows) <= MAX_EDGES:
-            return Inlining.of([(r[0], r[1], r[2]) for r in rows], maps)
-        wide = graph.groupBy("parent").agg(F.count("*").alias("n")).where(F.col("n") > MAX_MEMBERS).orderBy(F.desc("n"), "parent").limit(1000)
-        new = {r[0] for r in wide.collect()} - maps
-        if not new:
-            raise ValueError(f"more than {MAX_EDGES} members in elements of at most {MAX_MEMBERS}")
-        maps |= new
+            break
+        wide = graph.groupBy("parent").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "parent").limit(1000)
+        widths = {r[0]: r[1] for r in wide.collect() if r[0] not in maps}
+        widest = max(widths.values(), default=0)
+        least = MAX_MEMBERS if widest > MAX_MEMBERS else widest // 2
+        maps = maps | {name for name, n in widths.items() if n > least} if widths and left > 1 else _Every()
+    return Inlining.of([(r[0], r[1], r[2]) for r in rows], maps)
 
 
 def _documents(df: DataFrame, key: F.Column | str, column: str) -> DataFrame:
@@ -343,37 +381,49 @@ def shred(df: DataFrame, root_table: str, key: F.Column | str, column: str, inli
     Scale: two passes over the column (the graph, then the rows); the distinct edges and the distinct documents are shuffled,
     both combined map-side. A document's rows are made in one go and leave in batches.
     """
+    ship(df.sparkSession)
     inlining = inlining or analyse(df, column)
+    plan = Inlining(inlining.tables, maps=inlining.maps)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            at: list[int] = []
             out: list[tuple] = []
-            for k, text, doc in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                for r in shred_document(read_document(text), inlining):
-                    out.append((root_table, k, doc, *r))
-                    if len(out) >= 50_000:
-                        yield _batch(out)
-                        out = []
+            size = 0
+            for i, text in enumerate(b.column(2).to_pylist()):
+                for r in shred_document(read_document(text), plan):
+                    at.append(i)
+                    out.append(r)
+                    size += len(r[1])
+                    if len(out) >= _ROWS or size >= _CHARACTERS:
+                        yield _batch(b, at, out)
+                        at, out, size = [], [], 0
             if out:
-                yield _batch(out)
+                yield _batch(b, at, out)
 
     source = _documents(df, key, column).where("doc is not null").distinct()
-    source = source.withColumn("doc_id", F.md5(F.concat("root_key", F.lit("\n"), "doc")))
-    return source.mapInArrow(
+    source = source.select("root_key", F.md5(F.concat("root_key", F.lit("\n"), "doc")).alias("doc_id"), "doc")
+    made = source.mapInArrow(
         rows,
-        "root_table string, root_key string, doc_id string, table_name string, path string, parent_path string, "
-        "parent_table string, member string, ordinal long, is_object boolean, in_array boolean, "
-        "object_path string, columns map<string,string>",
+        "root_key string, doc_id string, table_name string, path string, parent_path string, parent_table string, "
+        "member string, ordinal long, is_object boolean, in_array boolean, object_path string, columns map<string,string>",
     )
+    return made.select(F.lit(root_table).alias("root_table"), "*")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows))
+def _batch(b: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+    """The rows with key and document id of the documents that they came from."""
+    *flat, maps = zip(*rows)
+    flat += [list(chain.from_iterable(maps)), [x for m in maps for x in m.values()]]
+    types = [f.type for f in _ROW][:-1] + [pa.string()] * 2
     try:
-        arrays = [pa.array(list(c), f.type) for c, f in zip(columns, _ROW)]
+        arrays = [pa.array(c, t) for c, t in zip(flat, types)]
     except UnicodeEncodeError:
-        arrays = [pa.array([_sound(x) for x in c], f.type) for c, f in zip(columns, _ROW)]
-    return pa.RecordBatch.from_arrays(arrays, schema=_ROW)
+        arrays = [pa.array(_sound(c), t) for c, t in zip(flat, types)]
+    *arrays, names, values = arrays
+    columns = pa.MapArray.from_arrays(pa.array([0, *accumulate(map(len, maps))], pa.int32()), names, values)
+    take = pa.array(at, pa.int64())
+    return pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *arrays, columns], names=["root_key", "doc_id", *_ROW.names])
 
 
 def _sound(x):
@@ -393,56 +443,14 @@ def table_of(shredded: DataFrame, name: str, columns: list[str]) -> DataFrame:
     )
 
 
-def objects_in_arrays(value) -> Iterator[tuple[str, str]]:
-    """(path, path of the nearest such object around it) of every object that is a direct part of an array."""
-    stack = [("", "", value)]
-    while stack:
-        path, near, v = stack.pop()
-        if isinstance(v, dict):
-            stack.extend((f"{path}.{m}" if path else m, near, x) for m, x in v.items() if isinstance(x, (dict, list)))
-        elif isinstance(v, list):
-            for i, x in enumerate(v):
-                if isinstance(x, dict):
-                    where = f"{path}[{i}]"
-                    yield where, near
-                    stack.append((where, where, x))
-                elif isinstance(x, list):
-                    stack.append((f"{path}[{i}]", near, x))
-
-
-def nested_objects(df: DataFrame, root_table: str, key: F.Column | str, column: str) -> DataFrame:
+def nested_objects(df: DataFrame, root_table: str, key: F.Column | str, column: str, inlining: Inlining | None = None) -> DataFrame:
     """Every object that is a direct part of an array, with its nearest such ancestor.
 
-    Distinct (``root_table``, ``root_key``, ``path``, ``parent_path``): the rows of ``shred``
-    that are objects in arrays, without their columns, so neither the schema graph nor scalars are looked at.
-    ``parent_path`` is '' where no such object encloses them. Rows of the same key
-    count together; repetition ends map-side first. Nulls, unreadable and wrapped documents as in ``shred``.
+    Distinct (``root_table``, ``root_key``, ``path``, ``parent_path``): the rows of the related tables of ``shred``
+    that are objects in arrays; what an array holds is repeated, so each has a row in the table of its element.
+    ``parent_path`` is the row's ``object_path``, the first such object on the way up its foreign keys, '' where no such object
+    encloses it. Rows of the same key count together; repetition ends map-side first. Nulls, unreadable and
+    wrapped documents as in ``shred``.
     """
-    ship(df.sparkSession)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at: list[int] = []
-            paths: list[str] = []
-            parents: list[str] = []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                for path, parent in objects_in_arrays(read_document(text)):
-                    at.append(i)
-                    paths.append(path)
-                    parents.append(parent)
-                if len(at) >= 50_000 or (at and i == b.num_rows - 1):
-                    yield _objects(b, at, paths, parents)
-                    at, paths, parents = [], [], []
-            if at:
-                yield _objects(b, at, paths, parents)
-
-    out = _documents(df, key, column).mapInArrow(rows, "root_key string, path string, parent_path string").distinct()
-    return out.select(F.lit(root_table).alias("root_table"), "root_key", "path", "parent_path")
-
-
-def _objects(b: pa.RecordBatch, at: list[int], paths: list[str], parents: list[str]) -> pa.RecordBatch:
-    try:
-        columns = [pa.array(paths, pa.string()), pa.array(parents, pa.string())]
-    except UnicodeEncodeError:
-        columns = [pa.array([_sound(x) for x in c], pa.string()) for c in (paths, parents)]
-    return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *columns], names=["root_key", "path", "parent_path"])
+    rows = shred(df, root_table, key, column, inlining).where("is_object and in_array")
+    return rows.select("root_table", "root_key", "path", F.col("object_path").alias("parent_path")).distinct()
